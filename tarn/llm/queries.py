@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.cooccurrence import item_pairs
+from tarn.llm.leakage import leaked_items
+from tarn.llm.mail import readable_texts
 from tarn.llm.splits import related_splits, torn_groups
 from tarn.llm.subsequences import frequent_subsequences
 from tarn.llm.topn import top_n
@@ -100,7 +102,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(ranked, ["pair_id"], [F.col("evidence_rank")], ["hand_idx"], 5).select("pair_id", "place", "hand_idx")
 
 
-QUERIES = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found}
+def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Items of which 12 consecutive words, of which up to two may differ, stand in a part of a message."""
+    return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", readable_texts)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_overlaps(spark, d).filter("substitutions = 0").select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p7_found": p7_found, "p7_overlaps": p7_overlaps}
 
 _TABLES = "SELECT hand_idx, max(table_idx) AS table_idx FROM hands WHERE table_idx IS NOT NULL GROUP BY 1"
 _PATTERNS = f"""
