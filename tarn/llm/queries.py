@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm import tokens
+from tarn.llm.chunking import split_oversized
 from tarn.llm.cooccurrence import item_pairs
 from tarn.llm.leakage import leaked_items
 from tarn.llm.mail import readable_texts
+from tarn.llm.packing import containers
 from tarn.llm.splits import related_splits, torn_groups
 from tarn.llm.subsequences import frequent_subsequences
 from tarn.llm.topn import top_n
@@ -20,13 +28,13 @@ SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 def step_sequences(spark: SparkSession, d: str) -> DataFrame:
     """(table_idx, player_idx, items): the steps of a player in a hand, as street.action, in order.
 
-    Steps and hands' tables are both grouped by hand_idx, so each log is shuffled once.
+    Copies go before the shuffle, and sequences too short for a pattern before the join.
     """
     steps = table(spark, d, "actions").filter(is_step()).select(
         "hand_idx", "player_idx", (F.col("action_no").cast("int") * 32 + F.col("street") * 6 + F.col("action")).alias("step")
     )
     ordered = (
-        steps.repartition("hand_idx").groupBy("hand_idx", "player_idx").agg(F.array_sort(F.collect_set("step")).alias("s")).filter(F.size("s") >= 3)
+        steps.groupBy("hand_idx", "player_idx").agg(F.array_sort(F.collect_set("step")).alias("s")).filter(F.size("s") >= 3)
     )
     code = lambda x: F.concat((F.floor(F.pmod(x, F.lit(32)) / 6)).cast("string"), F.lit("."), F.pmod(F.pmod(x, F.lit(32)), F.lit(6)).cast("string"))
     return ordered.join(hand_tables(table(spark, d, "hands")), "hand_idx").select("table_idx", "player_idx", F.transform("s", code).alias("items"))
@@ -102,6 +110,39 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(ranked, ["pair_id"], [F.col("evidence_rank")], ["hand_idx"], 5).select("pair_id", "place", "hand_idx")
 
 
+def document_sizes(documents: DataFrame, path: str = tokens.VOCABULARY) -> DataFrame:
+    """(doc_id, source, n_tokens, copies): tokens of the whole text, and a fingerprint that deliveries of one message share.
+
+    The fingerprint is of the message without headers and white space, null if nothing is left; a null text has 0 tokens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, prints = [], []
+            for text in batch["text"].to_pylist():
+                text = text or ""
+                counts.append(len(tokens.encode(text, path)))
+                head = re.search(r"\r?\n\r?\n", text) if re.match(r"[!-9;-~]+:", text) else None
+                body = "".join(text[head.end() if head else 0 :].split())
+                prints.append(xxhash.xxh3_128_hexdigest(body.encode("utf-8", "replace")) if body else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["source"], pa.array(counts, pa.int64()), pa.array(prints, pa.string())], ["doc_id", "source", "n_tokens", "copies"]
+            )
+
+    return documents.select("doc_id", "text", "source").mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, copies string")
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, of 4,096 tokens."""
+    sizes = document_sizes(table(spark, d, "documents"))
+    return containers(sizes, "doc_id", "n_tokens", "source", "copies", 4_096).withColumnsRenamed({"start": "start_token", "length": "n_tokens"})
+
+
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of up to 1,024 tokens, each repeating 64 of the one before."""
+    return split_oversized(table(spark, d, "documents"), "doc_id", "text", 1_024, 64)
+
+
 def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Items of which 12 consecutive words, of which up to two may differ, stand in a part of a message."""
     return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", readable_texts)
@@ -111,7 +152,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_overlaps(spark, d).filter("substitutions = 0").select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p7_found": p7_found, "p7_overlaps": p7_overlaps}
+QUERIES = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_pieces": p8_pieces}
 
 _TABLES = "SELECT hand_idx, max(table_idx) AS table_idx FROM hands WHERE table_idx IS NOT NULL GROUP BY 1"
 _PATTERNS = f"""
