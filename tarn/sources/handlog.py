@@ -1,5 +1,8 @@
 """The hand log with its dirt removed: steps, seats, and each hand's table and time.
 
+Copies are aggregated away before a shuffle, so a hand sent a million times costs one row a task. Tables and times have one
+row per hand and are evenly hashed; joins on hand_idx build their hash maps from them and spare the sort of the log.
+
 Copies of a row never contradict each other in a filled field, so a filled value is taken from any copy. All functions
 accept extra columns, empty tables and nulls in any column; rows without the identifying fields do not count.
 """
@@ -54,6 +57,7 @@ def hand_tables(hands: DataFrame) -> DataFrame:
         hands.filter(F.col("hand_idx").isNotNull() & F.col("table_idx").isNotNull())
         .groupBy("hand_idx")
         .agg(F.max("table_idx").alias("table_idx"))
+        .hint("shuffle_hash")
     )
 
 
@@ -64,4 +68,5 @@ def hand_times(hands: DataFrame) -> DataFrame:
         .filter(F.col("hand_idx").isNotNull() & F.col("time").isNotNull())
         .groupBy("hand_idx")
         .agg(F.max("time").alias("time"))
+        .hint("shuffle_hash")
     )
