@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarn.queries import features
+from tarn.queries import features, relational
 
-MODULES = [features]
+MODULES = [features, relational]
 
 
 def queries() -> dict:
