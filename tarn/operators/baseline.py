@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Fixed values of the method.
 Z_FLOOR = 1e-9
@@ -117,3 +120,20 @@ def histogram_llr(df: DataFrame, value: str, positive: str, edges: list[float],
     ratio = ((F.col("p") + 1) / (F.col("tp") + bins)) / ((F.col("q") + 1) / (F.col("tq") + bins))
     table = counts.crossJoin(F.broadcast(totals)).select("bin", F.log1p(F.lit(pi) * (ratio - 1)).alias("llr"))
     return df.join(F.broadcast(table), "bin")  # as many rows as bins
+
+
+@F.pandas_udf(LongType())
+def poisson_quantile(u: pd.Series, rate: pd.Series) -> pd.Series:
+    """The least k with P(Poisson(rate) <= k) > u: a draw, if u is uniform. Rates above 600 count as 600; null rates give 0."""
+    r = np.clip(rate.fillna(0).to_numpy(float), 0, 600)
+    x = u.fillna(0).to_numpy(float)
+    p = np.exp(-r)
+    total, out = p.copy(), np.zeros(len(r), np.int64)
+    for k in range(1, int(r.max(initial=0) + 10 * np.sqrt(r.max(initial=0)) + 40)):
+        below = total <= x
+        if not below.any():
+            break
+        out += below
+        p = p * r / k
+        total += p
+    return pd.Series(out)

@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ridge_logit(x: np.ndarray, y: np.ndarray, offset: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
-    """Coefficients of a logistic regression with given offsets and an L2 penalty, by Newton's method."""
+def ridge_logit(x: np.ndarray, y: np.ndarray, offset: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
+    """Coefficients of a weighted logistic regression with given offsets and an L2 penalty, by Newton's method."""
     beta = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta + offset, -30, 30)))
-        slope = x.T @ (y - p) - ridge * beta
-        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        slope = x.T @ (weight * (y - p)) - ridge * beta
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
         move = np.linalg.solve(curve, slope)
         beta = beta + move
         if np.abs(move).max() < 1e-10:
@@ -37,21 +37,15 @@ def entity_logits(df: DataFrame, entity: str, target: str, offset: str, features
     kind = df.schema[entity].dataType.simpleString()
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        w = frame["w"].to_numpy()
-        if w.sum() < least:
-            return pd.DataFrame({"e": [], "n": [], "beta": []})
-        x = np.column_stack([np.ones(len(frame)), frame[features].to_numpy(float)])
-        y, o = frame[target].to_numpy(float), frame[offset].to_numpy(float)
-        beta = np.zeros(x.shape[1])
-        for _ in range(12):
-            p = 1 / (1 + np.exp(-np.clip(x @ beta + o, -30, 30)))
-            move = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (w * (y - p)) - ridge * beta)
-            beta += move
-            if np.abs(move).max() < 1e-10:
-                break
-        return pd.DataFrame({"e": [key[0]], "n": [int(w.sum())], "beta": [beta.tolist()]})
-
-    return cells.groupBy(entity).applyInPandas(run, f"e {kind}, n bigint, beta array<double>").withColumnRenamed("e", entity)
+        w = frame["w"].to_numpy(float)
+        beta = None
+        if w.sum() >= least:
+            x = np.column_stack([np.ones(len(frame)), frame[features].to_numpy(float)])
+            beta = ridge_logit(x, frame[target].to_numpy(float), frame[offset].to_numpy(float), w, ridge).tolist()
+        return pd.DataFrame({"e": [key[0]], "n": [int(w.sum())], "beta": [beta]})
+
+    fits = cells.groupBy(entity).applyInPandas(run, f"e {kind}, n bigint, beta array<double>")
+    return fits.filter("beta is not null").withColumnRenamed("e", entity)
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:

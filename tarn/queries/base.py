@@ -55,7 +55,7 @@ HANDS = f"h AS (SELECT hand_idx, {_max(_HAND)}, max({SECONDS}) AS t FROM hands W
 SEATS = f"s AS (SELECT hand_idx, player_idx, {_max(_SEAT)} FROM seats WHERE hand_idx IS NOT NULL AND player_idx IS NOT NULL GROUP BY 1, 2)"
 ACTIONS = f"""a AS (SELECT hand_idx, action_no, {_max(_ACTION)} FROM actions WHERE hand_idx IS NOT NULL AND action_no IS NOT NULL
 AND player_idx IS NOT NULL AND street BETWEEN 0 AND 3 AND action BETWEEN 0 AND 5 GROUP BY 1, 2)"""
-PAIRS = f"""{HANDS}, {SEATS}, at AS (SELECT s.hand_idx, table_idx, player_idx, coalesce(went_to_showdown, false) AS sd, coalesce(net_chips, 0) AS net
+PAIRS = f"""{HANDS}, {SEATS}, sat AS (SELECT s.hand_idx, table_idx, player_idx, coalesce(went_to_showdown, false) AS sd, coalesce(net_chips, 0) AS net
 FROM s JOIN h USING (hand_idx) WHERE table_idx IS NOT NULL),
 ps AS (SELECT x.table_idx, x.player_idx AS a, y.player_idx AS b, count(*) AS n, CAST(sum((x.sd AND y.sd)::INT) AS BIGINT) AS "both",
-CAST(sum((x.net < 0 AND y.net > 0)::INT) AS BIGINT) AS flow FROM at x JOIN at y ON x.hand_idx = y.hand_idx AND x.player_idx < y.player_idx GROUP BY 1, 2, 3)"""
+CAST(sum((x.net < 0 AND y.net > 0)::INT) AS BIGINT) AS flow FROM sat x JOIN sat y ON x.hand_idx = y.hand_idx AND x.player_idx < y.player_idx GROUP BY 1, 2, 3)"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarn.queries import features, relational
+from tarn.queries import domain, features, relational, streams
 
-MODULES = [features, relational]
+MODULES = [features, relational, domain, streams]
 
 
 def queries() -> dict:
