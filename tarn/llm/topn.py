@@ -49,10 +49,11 @@ def top_n(rows: DataFrame, group: list[str], by: list, ident: list[str], n: int,
     no group is held in memory. A hot group is first spread over all partitions by a hash of ident, each of which sends at
     most n of its rows on. All columns are kept; a null group is a group of its own; nulls sort where `by` and ident put them
     (ident ascending, nulls first); rows equal in everything named are ordered by the hash of all their columns, so a
-    repeated row takes as many places as it has copies. An empty input gives no rows.
+    repeated row takes as many places as it has copies. A column named like `place` is replaced. An empty input gives no rows.
     """
-    names = rows.columns
-    order = [F.col(g).asc() for g in group] + list(by) + [F.col(i).asc() for i in ident] + [F.xxhash64(*names)]
+    rows = rows.drop("__place", *([place] if place not in [*group, *ident] else []))
+    hashed = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    order = [F.col(g).asc() for g in group] + list(by) + [F.col(i).asc() for i in ident] + [F.xxhash64(*hashed)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", `__place` int"
     spread = rows.repartition(*group, *ident).sortWithinPartitions(*order).mapInArrow(_stream(group, n), schema).drop("__place")
     return (
