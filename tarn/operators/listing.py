@@ -36,14 +36,18 @@ def listed_probability(q: np.ndarray, types: np.ndarray, cap: int = CAP) -> np.n
 
 
 def listing_probabilities(df: DataFrame, group: str, order: list[str], chance: str, types: list[str], cap: int = CAP) -> DataFrame:
-    """Adds `p_listed` to every row. A group is what one pair has, some thousand rows at most; a null chance or type counts as 0."""
+    """Adds `p_listed` to every row. A group is what one pair has, some thousand rows at most; a null chance or type counts as 0.
+
+    The number of tasks is fixed, as adaptive execution would join small partitions whose work is in their groups.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", p_listed double"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, ignore_index=True)
         return frame.assign(p_listed=listed_probability(frame[chance].fillna(0).to_numpy(float), frame[types].fillna(0).to_numpy(float), cap))
 
-    return df.groupBy(group).applyInPandas(run, schema)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, group).groupBy(group).applyInPandas(run, schema)
 
 
 def best_order(p: np.ndarray, together: np.ndarray, length: int = CAP) -> tuple[int, ...]:
