@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.operators.features import daily_store, feature_table, window_features
@@ -13,31 +13,35 @@ TYPES = [f"s{s}_a{a}" for s in STREETS for a in ACTIONS] + ["net_neg", "net_zero
 
 
 def player_events(spark: SparkSession, d: str) -> DataFrame:
-    """(player_idx, event_type, time, hand_idx, net): the steps and the seats' results in hands with a time."""
+    """(player_idx, code, time, hand_idx, net): the steps and the seats' results in hands with a time; code is a place in TYPES."""
     times = hand_times(table(spark, d, "hands"))
     acted = steps(table(spark, d, "actions")).select(
-        "hand_idx", "player_idx", F.concat(F.lit("s"), "street", F.lit("_a"), "action").alias("event_type"), F.lit(None).cast("int").alias("net")
+        "hand_idx", "player_idx", (F.col("street") * len(ACTIONS) + F.col("action")).cast("tinyint").alias("code"), F.lit(None).cast("int").alias("net")
     )
-    sign = F.when(F.col("net_chips") < 0, "net_neg").when(F.col("net_chips") == 0, "net_zero").otherwise("net_pos")
+    sign = (F.signum("net_chips") + len(STREETS) * len(ACTIONS) + 1).cast("tinyint")
     results = seat_rows(table(spark, d, "seats")).filter("net_chips is not null").select(
-        "hand_idx", "player_idx", sign.alias("event_type"), F.col("net_chips").alias("net")
+        "hand_idx", "player_idx", sign.alias("code"), F.col("net_chips").alias("net")
     )
     return acted.unionByName(results).join(times, "hand_idx")
 
 
+def type_name() -> Column:
+    return F.get(F.array(*(F.lit(t) for t in TYPES)), F.col("code")).alias("event_type")
+
+
 def store(spark: SparkSession, d: str) -> DataFrame:
-    return daily_store(player_events(spark, d), "player_idx", "event_type", "time", "hand_idx", "net")
+    return daily_store(player_events(spark, d), "player_idx", "code", "time", "hand_idx", "net")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    features = window_features(store(spark, d), "player_idx", "event_type", {"all": (None, None)})
-    return features.filter("all_count >= 3").select("player_idx", "event_type", F.col("latest_ident").alias("last_hand_idx"))
+    features = window_features(store(spark, d), "player_idx", "code", {"all": (None, None)})
+    return features.filter("all_count >= 3").select("player_idx", type_name(), F.col("latest_ident").alias("last_hand_idx"))
 
 
 def p5_features(spark: SparkSession, d: str) -> DataFrame:
     """One row per player of the seats: counts and latest hand of every type, and the total of net_chips, in all hands with a time."""
-    features = window_features(store(spark, d), "player_idx", "event_type", {"all": (None, None)}).select(
-        "player_idx", "event_type", F.col("all_count").alias("count"), F.col("all_total").alias("total"), F.col("latest_ident").alias("latest_hand")
+    features = window_features(store(spark, d), "player_idx", "code", {"all": (None, None)}).select(
+        "player_idx", type_name(), F.col("all_count").alias("count"), F.col("all_total").alias("total"), F.col("latest_ident").alias("latest_hand")
     )
     wide = feature_table(features, table(spark, d, "seats"), "player_idx", "event_type", TYPES, ["count", "latest_hand", "total"])
     nets = [f"net_{s}_total" for s in ("neg", "zero", "pos")]
