@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -80,7 +81,7 @@ def equity(holes: list[tuple[int, int]], board: list[int], simulations: int = 0,
         rng = np.random.default_rng(seed)
         runs = deck[np.argsort(rng.random((simulations, len(deck))), axis=1)[:, :need]]
     else:
-        runs = np.array(list(combinations(deck, need)), np.int64).reshape(-1, need)
+        runs = np.array(list(combinations(deck, need)), np.int64).reshape(comb(len(deck), need), need)
     boards = np.hstack([np.tile(np.array(board, np.int64).reshape(1, -1), (len(runs), 1)), runs])
     values = np.stack([score(np.hstack([np.tile(np.array(h), (len(boards), 1)), boards])) for h in holes])
     best = values == values.max(0)

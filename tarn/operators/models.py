@@ -10,6 +10,7 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def ridge_logit(x: np.ndarray, y: np.ndarray, offset: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
@@ -100,3 +101,35 @@ def platt_scaled(score: Column, slope: float, intercept: float) -> Column:
 def clusters(df: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """Adds `cluster` by k-means over `features`."""
     return KMeans(k=k, seed=seed, predictionCol="cluster").fit(df).transform(df)
+
+
+def nested_cross_fit(df: DataFrame, outer: str, inner: str, folds: int, label: str, kind: str, weight: str | None = None) -> DataFrame:
+    """Two stages: a second model adds the first one's score to the features. For each outer fold, the first stage is
+    cross-fitted over inner folds of the other outer folds and, for the held-out rows, fitted on all of those."""
+    df = df.persist()
+    out = None
+    for k in range(folds):
+        train, test = df.filter(F.col(outer) != k), df.filter(F.col(outer) == k)
+        first = cross_fit(train, inner, folds, label, kind, weight).withColumn("__s", F.get("probability", F.lit(1))).drop("probability")
+        model = classifier(kind, label, weight).fit(train).setPredictionCol("").setRawPredictionCol("__r").setProbabilityCol("__p")
+        held = model.transform(test).withColumn("__s", F.get(vector_to_array("__p"), F.lit(1))).drop("__r", "__p")
+        join = VectorAssembler(inputCols=["features", "__s"], outputCol="__f")
+        second = classifier(kind, label, weight).setFeaturesCol("__f").fit(join.transform(first)).setPredictionCol("").setRawPredictionCol("__r").setProbabilityCol("__p")
+        scored = second.transform(join.transform(held)).withColumn("probability", vector_to_array("__p")).drop("__r", "__p", "__f", "__s")
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def binomial_surprise(hits: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+    """-ln P(X >= hits) of a binomial count, by summing exact terms; null where an input is."""
+    known = (hits.notna() & n.notna() & p.notna()).to_numpy()
+    h, m, q = hits.fillna(0).to_numpy(np.int64), n.fillna(0).to_numpy(np.int64), p.fillna(0.5).to_numpy(float)
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, m.max(initial=0) + 1)))])
+    out = np.full(len(h), np.nan)
+    for i in np.flatnonzero(known):
+        k = np.arange(max(h[i], 0), m[i] + 1)
+        terms = log_factorial[m[i]] - log_factorial[k] - log_factorial[m[i] - k] + k * np.log(q[i]) + (m[i] - k) * np.log1p(-q[i])
+        top = terms.max(initial=-np.inf)
+        out[i] = max(0.0, -(top + np.log(np.exp(terms - top).sum()))) if len(k) else np.inf
+    return pd.Series(out).where(known)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarn.queries import domain, features, relational, streams
+from tarn.queries import domain, evidence, features, relational, streams
 
-MODULES = [features, relational, domain, streams]
+MODULES = [features, relational, domain, evidence, streams]
 
 
 def queries() -> dict:

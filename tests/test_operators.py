@@ -142,6 +142,20 @@ def test_ridge_logit_recovers_coefficients():
     assert np.allclose(models.ridge_logit(x, y, np.zeros(20000), np.ones(20000), 1.0), [0.5, -1.0], atol=0.08)
 
 
+def test_binomial_surprise_against_enumeration(spark):
+    from math import comb, log
+
+    df = spark.createDataFrame([(3, 9, 0.2), (0, 4, 0.5), (5, 5, 0.1), (None, 4, 0.5)], "h int, n int, p double")
+    found = [r[0] for r in df.select(models.binomial_surprise("h", "n", "p")).collect()]
+    assert found[3] is None
+    for (h, n, p), f in zip([(3, 9, 0.2), (0, 4, 0.5), (5, 5, 0.1)], found):
+        assert abs(f + log(sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(h, n + 1)))) < 1e-9
+
+
+def test_equity_at_the_river_splits_ties():
+    assert cards.equity([(card("2c"), card("3d")), (card("2h"), card("3s"))], [card(c) for c in ("Ac", "Kc", "Qd", "Jh", "Ts")]).tolist() == [0.5, 0.5]
+
+
 @pytest.mark.parametrize("kind", ["logistic", "trees"])
 def test_cross_fit_separates_held_out_rows(spark, kind):
     df = spark.range(400).selectExpr("id", "cast(id % 2 as double) as label", "cast(id % 2 as double) + rand(1) as x", "cast(id % 3 as int) as fold")
