@@ -83,7 +83,8 @@ def equity(holes: list[tuple[int, int]], board: list[int], simulations: int = 0,
     else:
         runs = np.array(list(combinations(deck, need)), np.int64).reshape(comb(len(deck), need), need)
     boards = np.hstack([np.tile(np.array(board, np.int64).reshape(1, -1), (len(runs), 1)), runs])
-    values = np.stack([score(np.hstack([np.tile(np.array(h), (len(boards), 1)), boards])) for h in holes])
+    every = np.hstack([np.repeat(np.array(holes, np.int64), len(boards), axis=0), np.tile(boards, (len(holes), 1))])
+    values = score(every).reshape(len(holes), len(boards))
     best = values == values.max(0)
     return (best / best.sum(0)).mean(1)
 

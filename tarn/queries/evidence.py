@@ -209,7 +209,8 @@ def board_equity(spark: SparkSession, d: str) -> DataFrame:
     live = s.select("hand_idx", "player_idx", "c1", "c2", "board", F.coalesce("left", F.lit(9)).alias("left"), F.explode(F.array(F.lit(2), F.lit(3))).alias("street"))
     live = live.filter((F.col("left") >= F.col("street")) & (F.size("board") >= F.col("street") + 2))
     hand = F.struct("player_idx", F.col("c1").cast("int").alias("c1"), F.col("c2").cast("int").alias("c2"))
-    spots = live.groupBy("hand_idx", "street").agg(F.array_sort(F.collect_list(hand)).alias("h"), F.max("board").alias("board")).filter("size(h) >= 2 and forall(h, x -> x.c1 is not null and x.c2 is not null)")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # fixed: the work is in the runouts, not in the bytes
+    spots = live.repartition(tasks, "hand_idx", "street").groupBy("hand_idx", "street").agg(F.array_sort(F.collect_list(hand)).alias("h"), F.max("board").alias("board")).filter("size(h) >= 2 and forall(h, x -> x.c1 is not null and x.c2 is not null)")
 
     @F.pandas_udf("array<double>")
     def share(h: pd.Series, b: pd.Series, street: pd.Series) -> pd.Series:
