@@ -7,15 +7,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.operators.ranking import average_rank
+from tarn.operators.ordered import global_average_rank, global_prefix
 
 
 def average_precision(df: DataFrame, score: str, relevant: str, tie: str, partition: list[str] = []) -> DataFrame:
     """(partition, ap): mean precision at the relevant rows, 0 without any."""
-    w = Window.partitionBy(*partition).orderBy(F.col(score).desc(), F.col(tie))
-    rows = df.withColumn("__i", F.row_number().over(w)).withColumn("__hits", F.sum(F.col(relevant).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order, hit = [F.col(score).desc(), F.col(tie)], F.col(relevant).cast("int")
+    if partition:
+        w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = df.withColumns({"__i": F.count(F.lit(1)).over(w), "__hits": F.sum(hit).over(w)})
+    else:
+        rows = global_prefix(df, order, {"__i": F.lit(1), "__hits": hit})
     precision = F.when(F.col(relevant), F.col("__hits") / F.col("__i")).otherwise(0.0)
-    return rows.groupBy(*partition).agg(F.coalesce(F.try_divide(F.sum(precision), F.sum(F.col(relevant).cast("int"))), F.lit(0.0)).alias("ap"))
+    return rows.groupBy(*partition).agg(F.coalesce(F.try_divide(F.sum(precision), F.sum(hit)), F.lit(0.0)).alias("ap"))
 
 
 def precision_at(df: DataFrame, group: str, place: str, relevant: str, total: str, k: int) -> DataFrame:
@@ -28,7 +32,8 @@ def precision_at(df: DataFrame, group: str, place: str, relevant: str, total: st
 
 def roc_auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """(auc): by average ranks, null without both classes."""
-    ranked = df.filter(F.col(score).isNotNull()).select(F.col(positive).cast("int").alias("y"), average_rank(F.col(score)).alias("r"))
+    scored = df.filter(F.col(score).isNotNull()).select(score, F.col(positive).cast("int").alias("y"))
+    ranked = global_average_rank(scored, score, "r")
     p, n = F.sum("y"), F.count(F.lit(1))
     return ranked.agg(F.try_divide(F.sum(F.col("r") * F.col("y")) - p * (p + 1) / 2, p * (n - p)).alias("auc"))
 

@@ -34,14 +34,37 @@ def last_event(value: Column, partition: Names, by: Names) -> Column:
     return F.last(value, ignorenulls=True).over(before(partition, by))
 
 
-def row_index(df: DataFrame, by: Names, name: str = "row") -> DataFrame:
-    """Numbers rows from 0 in a total order, at any size: ranges are sorted apart and offset by the sizes of those before."""
-    spread = df.repartitionByRange(*_order(by)).sortWithinPartitions(*_order(by)).withColumn("__p", F.spark_partition_id())
-    inner = Window.partitionBy("__p").orderBy(*_order(by))
-    numbered = cut(spread.withColumn("__i", F.row_number().over(inner) - 1))  # range bounds are sampled: draw them once
-    sizes = numbered.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    return numbered.join(offsets, "__p").withColumn(name, F.col("__i") + F.col("__o")).drop("__p", "__i", "__o")
+def global_prefix(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums over all rows in an order, the current row included, without a window over the whole table.
+
+    Rows are range-partitioned and summed inside the ranges; the sums of the ranges before, one row a range, are added. The
+    ranges are drawn from a sample, so they are written once. The order should end in a unique key.
+    """
+    values = {f"__v_{name}": F.coalesce(value, F.lit(0)) for name, value in sums.items()}
+    spread = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).withColumns(values)
+    inner = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = cut(spread.withColumns({name: F.sum(f"__v_{name}").over(inner) for name in sums}))
+    ranges = rows.groupBy("__p").agg(*(F.sum(f"__v_{name}").alias(f"__o_{name}") for name in sums))
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("__p", *(F.coalesce(F.sum(f"__o_{name}").over(earlier), F.lit(0)).alias(f"__o_{name}") for name in sums))
+    joined = rows.join(F.broadcast(offsets), "__p")  # one row a range
+    return joined.withColumns({name: F.col(name) + F.col(f"__o_{name}") for name in sums}).drop("__p", *values, *(f"__o_{name}" for name in sums))
+
+
+def row_index(df: DataFrame, by: list[str | Column], name: str = "row") -> DataFrame:
+    """Numbers rows from 0 in a total order, at any size."""
+    numbered = global_prefix(df, [F.col(c) if isinstance(c, str) else c for c in by], {name: F.lit(1)})
+    return numbered.withColumn(name, F.col(name) - 1)
+
+
+def global_average_rank(df: DataFrame, score: str, name: str) -> DataFrame:
+    """Adds the rank from 1 of a score over all rows, equal scores sharing the mean of their places; a null score gets null.
+
+    Different scores are counted first, so a tie of any size is one row on its way to the ranking.
+    """
+    counts = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("__c"))
+    ranks = global_prefix(counts, [F.col(score)], {"__t": F.col("__c")}).select(score, (F.col("__t") - (F.col("__c") - 1) / 2).alias(name))
+    return df.join(ranks, score, "left")
 
 
 def sessions(df: DataFrame, partition: Names, clock: str, by: Names, gap: float, name: str = "session") -> DataFrame:

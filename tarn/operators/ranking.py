@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.ordered import row_index
+
 
 def average_rank(score: Column, *partition: str, descending: bool = False) -> Column:
     """Rank from 1 in which equal scores share the mean of their places."""
@@ -26,8 +28,8 @@ def union_top_k(df: DataFrame, partition: list[str], scores: list[str], tie: str
 
 def unit_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Place from the end over n + 1, so the first row is nearest to 1."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return df.withColumn(name, 1 - F.row_number().over(Window.orderBy(*order)) / (n + 1))
+    n = df.agg(F.count(F.lit(1)).alias("__n"))
+    return row_index(df, order, "__i").crossJoin(F.broadcast(n)).withColumn(name, 1 - (F.col("__i") + 1) / (F.col("__n") + 1)).drop("__i", "__n")  # one row
 
 
 def argmax_label(columns: list[str]) -> Column:
@@ -41,7 +43,5 @@ def argmax_label(columns: list[str]) -> Column:
 
 def map_quantiles(df: DataFrame, score: str, onto: str, tie: str, name: str) -> DataFrame:
     """Each row's score replaced by the `onto` value that has the same place."""
-    w1, w2 = Window.orderBy(F.col(score), F.col(tie)), Window.orderBy(F.col(onto), F.col(tie))
-    left = df.withColumn("__i", F.row_number().over(w1))
-    right = df.select(F.col(onto).alias(name), F.row_number().over(w2).alias("__i"))
-    return left.join(right, "__i").drop("__i")
+    right = row_index(df.select(F.col(onto).alias(name), tie), [name, tie], "__i").drop(tie)
+    return row_index(df, [score, tie], "__i").join(right, "__i").drop("__i")

@@ -491,8 +491,10 @@ _RANKS = _LABELLED + f", r AS (SELECT a, b, pos, score, score2, (rank() OVER (OR
 
 
 def fused(spark: SparkSession, d: str) -> DataFrame:
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return labelled(spark, d).withColumns({"r1": ranking.average_rank(F.col("score")) / n, "r2": ranking.average_rank(F.col("score2")) / n})
+    y = labelled(spark, d)
+    n = y.agg(F.count(F.lit(1)).alias("__n"))
+    y = ordered.global_average_rank(ordered.global_average_rank(y, "score", "r1"), "score2", "r2")
+    return y.crossJoin(F.broadcast(n)).withColumns({"r1": F.col("r1") / F.col("__n"), "r2": F.col("r2") / F.col("__n")}).drop("__n")  # one row
 
 
 @query(_RANKS + " SELECT a, b, round((r1 + r2) / 2, 6) AS mean, round(0.7 * r1 + 0.3 * r2, 6) AS weighted, round(greatest(r1, r2), 6) AS top FROM r")

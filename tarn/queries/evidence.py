@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.operators import cards, listing, models, pairing, ranking, shaping
+from tarn.operators import cards, listing, models, ordered, ranking, shaping
 from tarn.queries.base import ACTIONS, HANDS, actions, hands, seats
 from tarn.queries.domain import _EV, _KEY, _LABELLED, _PAIRHAND, _SC, AGGR, CALL, KEY, class_scores, labelled, listed, model_rows, pair_hands, rowcol
 from tarn.queries.relational import R6
@@ -116,9 +116,10 @@ def cross_phase_surprise(spark: SparkSession, d: str) -> DataFrame:
 def exceedance(spark: SparkSession, d: str) -> DataFrame:
     """How rare a score this high is among negatives, for two scores, and both together by Fisher's sum."""
     y = labelled(spark, d)
-    negatives = F.count(F.when(~F.col("pos"), 1))
-    p = lambda s: (1.0 + negatives.over(Window.orderBy(F.col(s).desc()).rangeBetween(Window.unboundedPreceding, 0))) / (1 + negatives.over(Window.partitionBy()))
-    y = y.withColumns({"p1": p("score"), "p2": p("score2")})
+    for s, name in (("score", "p1"), ("score2", "p2")):
+        cells = y.groupBy(s).agg(F.count(F.when(~F.col("pos"), 1)).alias("q"))
+        above = ordered.global_prefix(cells, [F.col(s).desc()], {"t": F.col("q")}).crossJoin(F.broadcast(cells.agg(F.sum("q").alias("all"))))  # one row
+        y = y.join(above.select(s, ((1.0 + F.col("t")) / (1 + F.col("all"))).alias(name)), s)
     return y.select("a", "b", R6(-F.ln("p1")).alias("e1"), R6(-F.ln("p2")).alias("e2"), R6((-2 * (F.ln("p1") + F.ln("p2")) - 4) / F.sqrt(F.lit(8.0))).alias("fisher_z"))
 
 
@@ -257,7 +258,9 @@ def greedy_blend(spark: SparkSession, d: str) -> DataFrame:
     from tarn.operators.metrics import average_precision
 
     y = labelled(spark, d).withColumns({"key": KEY(), "s1": F.col("score"), "s2": F.col("score2"), "s3": F.ln(F.col("n"))})
-    y = y.withColumns({s: ranking.average_rank(F.col(s)) for s in ("s1", "s2", "s3")}).select("key", "pos", "s1", "s2", "s3").persist()
+    for s in ("s1", "s2", "s3"):
+        y = ordered.global_average_rank(y, s, f"{s}_rank").drop(s).withColumnRenamed(f"{s}_rank", s)
+    y = y.select("key", "pos", "s1", "s2", "s3").persist()
     weights, steps = {"s1": 0, "s2": 0, "s3": 0}, []
     for step in range(4):
         trials = F.explode(F.array(*(F.struct(F.lit(s).alias("add"), sum((F.col(t) * (w + (t == s)) for t, w in weights.items()), F.lit(0.0)).alias("v")) for s in weights)))
@@ -269,7 +272,13 @@ def greedy_blend(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, CAST(ntile(4) OVER (ORDER BY p_retailprice, p_partkey) AS INTEGER) AS quarter FROM part")
 def equal_bins(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", F.ntile(4).over(Window.orderBy("p_retailprice", "p_partkey")).alias("quarter"))
+    """Four bins of equal size, the first ones one larger where the number is not divisible."""
+    part = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    i, n = F.col("i"), F.col("n")
+    small, large = F.floor(n / 4), n % 4
+    quarter = F.when(i < large * (small + 1), F.floor(i / (small + 1))).otherwise(large + F.floor((i - large * (small + 1)) / F.greatest(small, F.lit(1)))) + 1
+    rows = ordered.row_index(part, ["p_retailprice", "p_partkey"], "i").crossJoin(F.broadcast(part.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    return rows.select("p_partkey", quarter.cast("int").alias("quarter"))
 
 
 @query()

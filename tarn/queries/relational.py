@@ -416,7 +416,7 @@ def approximate_distinct(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH r AS (SELECT rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS x, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2 AS y FROM customer) SELECT round(corr(x, y), 6) AS spearman FROM r")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
-    ranks = c.select(ranking.average_rank(F.col("c_acctbal")).alias("x"), ranking.average_rank(F.col("c_nationkey")).alias("y"))
+    ranks = ordered.global_average_rank(ordered.global_average_rank(c.select("c_acctbal", "c_nationkey"), "c_acctbal", "x"), "c_nationkey", "y")
     return ranks.agg(R6(F.corr("x", "y")).alias("spearman"))
 
 
