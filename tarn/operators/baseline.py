@@ -10,6 +10,7 @@ from pyspark.sql.types import LongType
 
 #: Fixed values of the method.
 Z_FLOOR = 1e-9
+RATE_FLOOR = 1e-6
 PSEUDO = 1.0
 SHRINK = 20.0
 
@@ -60,6 +61,14 @@ def unordered(directed: DataFrame) -> DataFrame:
     )
 
 
+def leave_one_out_z(directed: DataFrame, hit: str, n: str) -> DataFrame:
+    """directed has (x, y, hit, n). Adds z of the hits under x's rate with all others, that rate being kept off 0 and 1, so every row has one."""
+    h, m, w = F.col(hit), F.col(n), over("x")
+    other = (F.sum(h).over(w) - h) / F.greatest(F.sum(m).over(w) - m, F.lit(1))
+    rows = directed.withColumn("__p", F.least(F.greatest(other, F.lit(RATE_FLOOR)), F.lit(1 - RATE_FLOOR)))
+    return rows.withColumn("z", (h - m * F.col("__p")) / F.sqrt(m * F.col("__p") * (1 - F.col("__p")))).drop("__p")
+
+
 def softmax_gap(df: DataFrame, partition: str, score: str, tie: str) -> DataFrame:
     """Adds the softmax share inside the partition and the gap to the best other row."""
     w = over(partition)

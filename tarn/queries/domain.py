@@ -199,14 +199,15 @@ def pair_flag_z(spark: SparkSession, d: str) -> DataFrame:
 _DIRECTED = f"WITH {PAIRS}, d AS (SELECT table_idx, a AS x, b AS y, flow AS hit, n FROM ps UNION ALL SELECT p.table_idx, p.b, p.a, r.flow, p.n FROM ps p JOIN (SELECT x.table_idx, y.player_idx AS a, x.player_idx AS b, CAST(sum((x.net < 0 AND y.net > 0)::INT) AS BIGINT) AS flow FROM sat x JOIN sat y ON x.hand_idx = y.hand_idx AND x.player_idx > y.player_idx GROUP BY 1, 2, 3) r ON r.table_idx = p.table_idx AND r.a = p.a AND r.b = p.b)"
 
 
-def directed(spark: SparkSession, d: str) -> DataFrame:
-    """(table_idx, x, y, hit, n): hands shared at a table and those in which x lost and y won, both ways."""
+def directed(spark: SparkSession, d: str, tables: bool = True) -> DataFrame:
+    """(table_idx, x, y, hit, n): hands shared at a table and those in which x lost and y won, both ways; or (x, y, hit, n) over all tables."""
     s = seats(spark, d).join(hands(spark, d).filter("table_idx is not null").select("hand_idx", "table_idx"), "hand_idx")
     s = s.select("hand_idx", "table_idx", "player_idx", F.coalesce("net_chips", F.lit(0)).alias("net"))
     x, y = s.alias("x"), s.alias("y")
     both = x.join(y, (F.col("x.hand_idx") == F.col("y.hand_idx")) & (F.col("x.player_idx") != F.col("y.player_idx")))
     hit = F.sum(((F.col("x.net") < 0) & (F.col("y.net") > 0)).cast("bigint")).alias("hit")
-    return both.groupBy(F.col("x.table_idx").alias("table_idx"), F.col("x.player_idx").alias("x"), F.col("y.player_idx").alias("y")).agg(hit, F.count(F.lit(1)).alias("n"))
+    table_key = [F.col("x.table_idx").alias("table_idx")] if tables else []
+    return both.groupBy(*table_key, F.col("x.player_idx").alias("x"), F.col("y.player_idx").alias("y")).agg(hit, F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {PAIRS} SELECT * FROM ps")
@@ -237,6 +238,15 @@ def softmax_gap(spark: SparkSession, d: str) -> DataFrame:
     return B.softmax_gap(z, "x", "z", "y").select("x", "y", F.round("share", 5).alias("share"), F.round("gap", 4).alias("gap"))
 
 
+@query(_DIRECTED + """, t AS (SELECT x, y, CAST(sum(hit) AS BIGINT) AS hit, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY 1, 2), e AS (SELECT *, least(greatest((sum(hit) OVER w - hit)::DOUBLE / greatest(sum(n) OVER w - n, 1), 1e-6), 1 - 1e-6) AS p FROM t WINDOW w AS (PARTITION BY x)),
+z AS (SELECT x, y, (hit - n * p) / sqrt(n * p * (1 - p)) AS z FROM e), m AS (SELECT *, max(z) OVER (PARTITION BY x) AS top, row_number() OVER (PARTITION BY x ORDER BY z DESC, y) AS rz FROM z), sg AS (SELECT *, max(CASE WHEN rz = 2 THEN z END) OVER (PARTITION BY x) AS second FROM m)
+SELECT x, y, round(exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY x), 5) AS share, round(z - CASE WHEN rz = 1 THEN second ELSE top END, 4) AS gap FROM sg""")
+def softmax_gap_every(spark: SparkSession, d: str) -> DataFrame:
+    """The z of a partner against his rivals for the same player: every player and every co-player."""
+    z = B.leave_one_out_z(directed(spark, d, tables=False), "hit", "n")
+    return B.softmax_gap(z, "x", "z", "y").select("x", "y", F.round("share", 5).alias("share"), F.round("gap", 4).alias("gap"))
+
+
 _ROWCOL = _DIRECTED + """, e AS (SELECT *, sum(hit) OVER (PARTITION BY table_idx)::DOUBLE / sum(n) OVER (PARTITION BY table_idx) AS p FROM d),
 f AS (SELECT *, (sum(hit) OVER (PARTITION BY table_idx, x) - hit + 20 * p) / (sum(n) OVER (PARTITION BY table_idx, x) - n + 20) AS px, (sum(hit) OVER (PARTITION BY table_idx, y) - hit + 20 * p) / (sum(n) OVER (PARTITION BY table_idx, y) - n + 20) AS py FROM e),
 g AS (SELECT table_idx, x, y, hit, n, CASE WHEN p > 0 THEN n * px * py / p ELSE 0 END AS expected FROM f),
@@ -292,6 +302,14 @@ def double_centred(spark: SparkSession, d: str) -> DataFrame:
     return long.groupBy("a", "b").agg(R6(F.max("r") - F.avg("other")).alias("centred"))
 
 
+@query(f"WITH {PAIRS}, r AS (SELECT a, b, sum(flow)::DOUBLE / sum(n) AS r FROM ps GROUP BY 1, 2), l AS (SELECT a AS m, a, b, r FROM r UNION ALL SELECT b, a, b, r FROM r), o AS (SELECT m, a, b, r, (sum(r) OVER w - r) / nullif(count(*) OVER w - 1, 0) AS other FROM l WINDOW w AS (PARTITION BY m)) SELECT a, b, round(max(r) - avg(other), 6) AS centred FROM o GROUP BY 1, 2")
+def double_centred_every(spark: SparkSession, d: str) -> DataFrame:
+    """double_centred() for every pair, however few its hands."""
+    r = pair_stats(spark, d).groupBy("a", "b").agg((F.sum("flow") / F.sum("n")).alias("r"))
+    long = r.withColumn("m", F.explode(F.array("a", "b"))).withColumn("other", B.other_mean(F.col("r"), "m"))
+    return long.groupBy("a", "b").agg(R6(F.max("r") - F.avg("other")).alias("centred"))
+
+
 _LABELLED = f"WITH {PAIRS}, lab AS (SELECT p1 AS a, p2 AS b, max(label) AS label, max(behavior_family) AS family FROM labels WHERE p1 IS NOT NULL AND p2 IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2), x AS (SELECT a, b, sum(n) AS n, sum(flow) AS flow, sum(\"both\") AS sd, round(sum(flow)::DOUBLE / sum(n), 9) AS score, round(sum(\"both\")::DOUBLE / sum(n), 9) AS score2 FROM ps GROUP BY 1, 2), y AS (SELECT x.*, label = 1 AS pos, family FROM x JOIN lab USING (a, b))"
 
 

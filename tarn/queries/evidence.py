@@ -126,7 +126,7 @@ def exceedance(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def binomial_surprise(spark: SparkSession, d: str) -> DataFrame:
     """-ln P(X >= hits) under the expected rate, exact through log-gamma sums, for each directed pair."""
-    r = rowcol(spark, d).filter("n >= 5").withColumn("p", F.least(F.greatest(F.col("expected") / F.col("n"), F.lit(1e-9)), F.lit(1 - 1e-9)))
+    r = rowcol(spark, d).withColumn("p", F.least(F.greatest(F.col("expected") / F.col("n"), F.lit(1e-9)), F.lit(1 - 1e-9)))
     return r.select("table_idx", "x", "y", models.binomial_surprise(F.col("hit"), F.col("n"), F.col("p")).alias("surprise"))
 
 

@@ -84,6 +84,13 @@ def test_leave_one_out_and_softmax(spark):
     assert {round(r[0], 9) for r in shares.groupBy("x").sum("share").select("sum(share)").collect()} == {1.0}
 
 
+def test_a_player_all_of_whose_hits_go_to_one_partner_keeps_every_row(spark):
+    df = spark.createDataFrame([("x", 1, 40, 40), ("x", 2, 0, 30), ("x", 3, 0, 1), ("y", 1, 1, 1)], "x string, y int, hit int, n int")
+    z = baseline.leave_one_out_z(df, "hit", "n")
+    out = {(r["x"], r["y"]): r for r in baseline.softmax_gap(z, "x", "z", "y").collect()}
+    assert len(out) == 4 and out["x", 1]["z"] > 1000 and out["x", 1]["share"] == 1.0 and out["x", 1]["gap"] > 1000 and out["y", 1]["gap"] is None
+
+
 def test_poisson_quantile_has_its_rate(spark):
     df = spark.range(4000).select(shaping.uniform("id").alias("u")).selectExpr("u", "3.0D as rate")
     mean = df.select(baseline.poisson_quantile("u", "rate").alias("k")).agg({"k": "avg"}).first()[0]

@@ -36,3 +36,17 @@ def test_same_rows_as_sql(spark, duck, data, name):
 @pytest.mark.parametrize("name", [n for n in CORE if n not in ORACLES])
 def test_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
+
+
+@pytest.mark.parametrize("name", ["softmax_gap_every", "binomial_surprise"])
+def test_every_directed_pair_has_a_row(spark, data, name):
+    from tarn.queries.domain import directed
+
+    key = ["x", "y"] if name == "softmax_gap_every" else ["table_idx", "x", "y"]
+    assert rows(QUERIES[name](spark, data), *key) == rows(directed(spark, data).select(*key).distinct())
+
+
+def test_every_pair_is_centred(spark, data):
+    from tarn.queries.base import pair_stats
+
+    assert rows(QUERIES["double_centred_every"](spark, data), "a", "b") == rows(pair_stats(spark, data).select("a", "b").distinct())
