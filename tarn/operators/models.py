@@ -71,11 +71,11 @@ def classifier(kind: str, label: str, weight: str | None, seed: int = 42):
 
 def cross_fit(df: DataFrame, fold: str, folds: int, label: str, kind: str = "logistic", weight: str | None = None, seeds: tuple[int, ...] = (42,)) -> DataFrame:
     """Adds `probability` (array by class): each row scored by a model fitted on the other folds, the mean over seeds. Folds are
-    given, so that related rows can share one."""
+    given, so that related rows can share one. Rows without a label are scored, but no model is fitted on them."""
     df = df.persist()
     out = None
     for k in range(folds):
-        train, test = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k)
+        train, test = df.filter((F.col(fold) != k) & F.col(label).isNotNull()), df.filter(F.col(fold) == k)
         scored = test
         for i, seed in enumerate(seeds):
             model = classifier(kind, label, weight, seed).fit(train)
@@ -87,6 +87,11 @@ def cross_fit(df: DataFrame, fold: str, folds: int, label: str, kind: str = "log
     return out
 
 
+def pseudo_positives(scored: DataFrame, score: str, label: str, weight: str, share: float) -> DataFrame:
+    """The rows without a label that score above one half, as positives of a low weight."""
+    return scored.filter((F.col(score) > 0.5) & F.col(label).isNull()).withColumns({label: F.lit(1.0), weight: F.lit(share)})
+
+
 def platt(df: DataFrame, score: str, label: str) -> tuple[float, float]:
     """(slope, intercept) of the logit of a label on a score."""
     vector = VectorAssembler(inputCols=[score], outputCol="features").transform(df)

@@ -313,13 +313,14 @@ def double_centred_every(spark: SparkSession, d: str) -> DataFrame:
 _LABELLED = f"WITH {PAIRS}, lab AS (SELECT p1 AS a, p2 AS b, max(label) AS label, max(behavior_family) AS family FROM labels WHERE p1 IS NOT NULL AND p2 IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2), x AS (SELECT a, b, sum(n) AS n, sum(flow) AS flow, sum(\"both\") AS sd, round(sum(flow)::DOUBLE / sum(n), 9) AS score, round(sum(\"both\")::DOUBLE / sum(n), 9) AS score2 FROM ps GROUP BY 1, 2), y AS (SELECT x.*, label = 1 AS pos, family FROM x JOIN lab USING (a, b))"
 
 
-def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """(a, b, n, flow, sd, score, score2, pos, family): labelled pairs with simple scores."""
+def labelled(spark: SparkSession, d: str, how: str = "inner") -> DataFrame:
+    """(a, b, n, flow, sd, score, score2, pos, family): labelled pairs with simple scores; with how = "left" all pairs, pos being null
+    where there is no label."""
     lab = table(spark, d, "labels").filter("p1 is not null and p2 is not null and label is not null")
     lab = lab.groupBy(F.col("p1").alias("a"), F.col("p2").alias("b")).agg(F.max("label").alias("label"), F.max("behavior_family").alias("family"))
     x = pair_stats(spark, d).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("flow").alias("flow"), F.sum("both").alias("sd"))
     x = x.withColumns({"score": F.round(F.col("flow") / F.col("n"), 9), "score2": F.round(F.col("sd") / F.col("n"), 9)})
-    return x.join(lab, ["a", "b"]).withColumn("pos", F.col("label") == 1).drop("label")
+    return x.join(lab, ["a", "b"], how).withColumn("pos", F.col("label") == 1).drop("label")
 
 
 KEY = lambda: F.col("a").cast("bigint") * 4294967296 + F.col("b")
@@ -598,8 +599,9 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
 # Models
 
 
-def model_rows(spark: SparkSession, d: str) -> DataFrame:
-    y = labelled(spark, d).withColumns({"label": F.col("pos").cast("double"), "fold": F.pmod(F.xxhash64("a"), F.lit(2)).cast("int"), "w": F.when(F.col("pos"), 5.0).otherwise(1.0)})
+def model_rows(spark: SparkSession, d: str, how: str = "inner") -> DataFrame:
+    y = labelled(spark, d, how).withColumns({"label": F.col("pos").cast("double"), "fold": F.pmod(F.xxhash64("a"), F.lit(2)).cast("int"), "w": F.when(F.col("pos"), 5.0).otherwise(1.0)})
+    y = y.persist() if how == "left" else y  # three passes follow, over all pairs
     return models.assembled(y, ["n", "flow", "sd", "score", "score2"])
 
 

@@ -237,10 +237,10 @@ def luck_free_impact(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def self_trained(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs without a label that a first model takes for positive join a second one at a low weight; labelled pairs are scored."""
-    rows = model_rows(spark, d)
+    """Pairs without a label that a first model takes for positive join a second one at a low weight; every pair is scored."""
+    rows = model_rows(spark, d, "left")
     first = models.cross_fit(rows, "fold", 2, "label", "logistic", "w").withColumn("p", F.get("probability", F.lit(1))).drop("probability")
-    extra = first.filter((F.col("p") > 0.5) & (F.col("label") == 0)).withColumns({"label": F.lit(1.0), "w": F.lit(0.2)})
+    extra = models.pseudo_positives(first, "p", "label", "w", 0.2)
     second = models.cross_fit(first.withColumn("own", F.lit(True)).unionByName(extra.withColumn("own", F.lit(False))), "fold", 2, "label", "logistic", "w")
     return second.filter("own").select("a", "b", "p", F.get("probability", F.lit(1)).alias("q"))
 

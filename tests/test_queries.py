@@ -46,7 +46,8 @@ def test_every_directed_pair_has_a_row(spark, data, name):
     assert rows(QUERIES[name](spark, data), *key) == rows(directed(spark, data).select(*key).distinct())
 
 
-def test_every_pair_is_centred(spark, data):
+@pytest.mark.parametrize("name", ["double_centred_every", "self_trained"])
+def test_every_pair_has_a_row(spark, data, name):
     from tarn.queries.base import pair_stats
 
-    assert rows(QUERIES["double_centred_every"](spark, data), "a", "b") == rows(pair_stats(spark, data).select("a", "b").distinct())
+    assert rows(QUERIES[name](spark, data), "a", "b") == rows(pair_stats(spark, data).select("a", "b").distinct())
