@@ -90,10 +90,16 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return table_members(spark, d).join(listed, "table_idx", "left_semi").select("table_idx", "group_id", "split")
 
 
-def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+def p3_every_pair(spark: SparkSession, d: str, min_pairs: int = 1) -> DataFrame:
+    """Every two players of a table with their shared hands and the ratio to chance."""
     seats = table(spark, d, "seats").filter("hand_idx is not null and player_idx is not null")
     baskets = seats.groupBy("hand_idx").agg(F.collect_set("player_idx").alias("items")).join(hand_tables(table(spark, d, "hands")), "hand_idx")
-    return item_pairs(baskets, "table_idx", "items", 12).withColumnsRenamed({"item_a": "player_a", "item_b": "player_b"})
+    return item_pairs(baskets, "table_idx", "items", min_pairs).withColumnsRenamed({"item_a": "player_a", "item_b": "player_b"})
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """p3_every_pair() from 12 shared hands on."""
+    return p3_every_pair(spark, d, 12)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +158,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_overlaps(spark, d).filter("substitutions = 0").select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_every_pair": p3_every_pair, "p4_found": p4_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_pieces": p8_pieces}
 
 _TABLES = "SELECT hand_idx, max(table_idx) AS table_idx FROM hands WHERE table_idx IS NOT NULL GROUP BY 1"
 _PATTERNS = f"""
@@ -174,6 +180,7 @@ pairs AS (SELECT a.table_idx, a.player_idx AS player_a, b.player_idx AS player_b
 scored AS (SELECT p.*, x.m AS n_a, y.m AS n_b, n.n FROM pairs p JOIN n USING (table_idx)
            JOIN single x ON x.table_idx = p.table_idx AND x.player_idx = player_a JOIN single y ON y.table_idx = p.table_idx AND y.player_idx = player_b)
 """
+_EVERY_PAIR = _PAIRS.replace(" HAVING count(*) >= 12", "")
 
 
 def _conviction(x: str, y: str) -> str:
@@ -201,6 +208,9 @@ SELECT table_idx, group_id FROM grouped WHERE group_id IN (SELECT group_id FROM
     "p3_pairs": _PAIRS
     + "SELECT table_idx, player_a, player_b, n_ab, n_a, n_b, n, n_ab::DOUBLE * n / (n_a::DOUBLE * n_b) AS lift, "
     + f"{_conviction('a', 'b')} AS conviction_ab, {_conviction('b', 'a')} AS conviction_ba FROM scored",
+    "p3_every_pair": _EVERY_PAIR
+    + "SELECT table_idx, player_a, player_b, n_ab, n_a, n_b, n, n_ab::DOUBLE * n / (n_a::DOUBLE * n_b) AS lift, "
+    + f"{_conviction('a', 'b')} AS conviction_ab, {_conviction('b', 'a')} AS conviction_ba FROM scored",
     "p4_found": """
 WITH best AS (SELECT pair_id, hand_idx, min(evidence_rank) AS r FROM evidence WHERE evidence_rank >= 1 AND hand_idx IS NOT NULL GROUP BY 1, 2),
 placed AS (SELECT pair_id, hand_idx, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY r, hand_idx) AS INTEGER) AS place FROM best)

@@ -62,3 +62,8 @@ def test_p8_pieces_cover_every_oversized_text(spark, duck, data):
         assert r["n_tokens"] <= 1024 and texts[r["doc_id"]][r["start_char"] : r["end_char"]] == r["piece"]
         whole[r["doc_id"]] = whole[r["doc_id"]][: r["start_char"]] + r["piece"]
     assert whole and all(texts[d] == t for d, t in whole.items())
+
+
+def test_p3_every_pair_has_pairs_of_one_shared_hand(spark, data):
+    found, floor = QUERIES["p3_every_pair"](spark, data), QUERIES["p3_pairs"](spark, data)
+    assert found.agg({"n_ab": "min"}).first()[0] == 1 and rows(found.filter("n_ab >= 12")) == rows(floor)
