@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -50,16 +51,28 @@ def listing_probabilities(df: DataFrame, group: str, order: list[str], chance: s
     return df.repartition(tasks, group).groupBy(group).applyInPandas(run, schema)
 
 
+@functools.cache
+def _orders(n: int, length: int) -> np.ndarray:
+    """Every ordered choice of `length` out of n places, one a row, in lexicographic order."""
+    return np.array(list(itertools.permutations(range(n), length)), int).reshape(-1, length)
+
+
 def best_order(p: np.ndarray, together: np.ndarray, length: int = CAP) -> tuple[int, ...]:
     """The ordered list of rows with the greatest expected average precision, given the chance p[i] that a row is relevant and
     together[i, j] that two are; a bounded search over at most 10 candidates."""
     rows = np.argsort(-p, kind="stable")[:10]
-    best, choice = -1.0, ()
-    for order in itertools.permutations(rows, min(length, len(rows))):
-        value = sum((p[i] + sum(together[i, j] for j in order[:r])) / (r + 1) for r, i in enumerate(order))
-        if value > best + 1e-12:
-            best, choice = value, order
-    return tuple(int(i) for i in choice)
+    orders = rows[_orders(len(rows), min(length, len(rows)))]
+    value = np.zeros(len(orders))
+    for r in range(orders.shape[1]):
+        value += (p[orders[:, r]] + sum(together[orders[:, r], orders[:, j]] for j in range(r))) / (r + 1)
+    return tuple(int(i) for i in orders[np.argmax(value >= value.max() - 1e-12)])
+
+
+def greedy_candidates(scores: np.ndarray, kinds: np.ndarray, length: int) -> np.ndarray:
+    """Rows, in order, among which greedy_slots() picks what it would pick among all: the `length` best of each kind."""
+    order = np.argsort(-scores, kind="stable")
+    place = pd.Series(kinds[order]).groupby(kinds[order]).cumcount().to_numpy()
+    return np.sort(order[place < length])
 
 
 def greedy_slots(scores: np.ndarray, kinds: np.ndarray, length: int, discount: float) -> list[int]:

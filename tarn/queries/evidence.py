@@ -175,18 +175,19 @@ def composite_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def best_lists(spark: SparkSession, d: str) -> DataFrame:
-    """For each pair the ordered five of greatest expected precision, a greedy list that discounts repeated kinds, and chances
-    shifted to sum to five: on the ten likeliest hands of a pair."""
-    top = ranking.top_k(class_scores(spark, d).withColumn("kind", F.col("hand_idx") % 3), ["pair_id"], [F.col("s_a").desc(), F.col("hand_idx")], 10)
+    """For each pair the ordered five of greatest expected precision on its ten likeliest hands, a greedy list that discounts
+    repeated kinds, over all hands, and the chances of all hands, likeliest first, shifted to sum to five."""
+    s = class_scores(spark, d).withColumn("kind", F.col("hand_idx") % 3).select("pair_id", "hand_idx", "s_a", "kind")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place", ignore_index=True)
-        p, h = frame["s_a"].to_numpy(float), frame["hand_idx"].to_numpy()
-        together = np.outer(p, p)
-        best, greedy = listing.best_order(p[:7], together[:7, :7]), listing.greedy_slots(p, frame["kind"].to_numpy(), 5, 0.6)
+        frame = frame.sort_values(["s_a", "hand_idx"], ascending=[False, True], ignore_index=True)
+        p, h, kind = frame["s_a"].to_numpy(float), frame["hand_idx"].to_numpy(), frame["kind"].to_numpy()
+        best = listing.best_order(p[:10], np.outer(p[:10], p[:10]))
+        few = listing.greedy_candidates(p, kind, 5)
+        greedy = few[listing.greedy_slots(p[few], kind[few], 5, 0.6)]
         return pd.DataFrame({"pair_id": [key[0]], "best": [[int(h[i]) for i in best]], "greedy": [[int(h[i]) for i in greedy]], "shifted": [listing.logit_shift(p, min(5, len(p) * 0.9)).tolist()]})
 
-    return top.groupBy("pair_id").applyInPandas(run, "pair_id string, best array<int>, greedy array<int>, shifted array<double>")
+    return s.groupBy("pair_id").applyInPandas(run, "pair_id string, best array<int>, greedy array<int>, shifted array<double>")
 
 
 @query()

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from itertools import combinations, product
+from itertools import combinations, permutations, product
 
 import numpy as np
 import pytest
@@ -64,6 +64,22 @@ def test_lists_from_scores():
     assert abs(listing.censored_poisson_rate(np.minimum(rng.poisson(3.0, 20000), 5)) - 3) < 0.1
 
 
+def test_greedy_candidates_hold_what_is_picked_among_all():
+    rng = np.random.default_rng(3)
+    for n in (1, 8, 40):
+        for _ in range(30):
+            scores, kinds = np.round(rng.random(n), 2), rng.integers(0, 3, n)
+            few = listing.greedy_candidates(scores, kinds, 5)
+            assert [int(few[i]) for i in listing.greedy_slots(scores[few], kinds[few], 5, 0.6)] == listing.greedy_slots(scores, kinds, 5, 0.6)
+
+
+def test_best_order_against_enumeration_of_ten():
+    rng = np.random.default_rng(4)
+    p, together = rng.random(10), rng.random((10, 10))
+    value = lambda o: sum((p[i] + sum(together[i, j] for j in o[:r])) / (r + 1) for r, i in enumerate(o))
+    assert abs(value(listing.best_order(p, together, 3)) - max(map(value, permutations(range(10), 3)))) < 1e-9
+
+
 def test_row_index_is_a_permutation_in_order(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 as v")
     found = ordered.row_index(df, ["v"]).orderBy("row").collect()

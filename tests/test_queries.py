@@ -51,3 +51,10 @@ def test_every_pair_has_a_row(spark, data, name):
     from tarn.queries.base import pair_stats
 
     assert rows(QUERIES[name](spark, data), "a", "b") == rows(pair_stats(spark, data).select("a", "b").distinct())
+
+
+def test_best_lists_shift_every_hand_of_a_pair(spark, data):
+    from tarn.queries.domain import class_scores
+
+    sizes = rows(class_scores(spark, data).groupBy("pair_id").count())
+    assert max(n for _, n in sizes) > 10 and rows(QUERIES["best_lists"](spark, data).selectExpr("pair_id", "size(shifted)")) == sizes
