@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -131,18 +133,31 @@ def histogram_llr(df: DataFrame, value: str, positive: str, edges: list[float],
     return df.join(F.broadcast(table), "bin")  # as many rows as bins
 
 
+def _quantile_near(x: float, rate: float) -> int:
+    """The least k with P(Poisson(rate) <= k) > x, for a large rate: terms up to twelve deviations either way of the mode."""
+    mode, spread = int(rate), int(12 * math.sqrt(rate)) + 40
+    low = max(0, mode - spread)
+    k = np.arange(low + 1, mode + spread + 1)
+    steps = np.concatenate([[0.0], np.cumsum(np.log(rate / k))])
+    below = np.cumsum(np.exp(steps - steps[mode - low] + mode * math.log(rate) - rate - math.lgamma(mode + 1)))
+    return low + min(int(np.searchsorted(below, x, side="right")), len(k))
+
+
 @F.pandas_udf(LongType())
 def poisson_quantile(u: pd.Series, rate: pd.Series) -> pd.Series:
-    """The least k with P(Poisson(rate) <= k) > u: a draw, if u is uniform. Rates above 600 count as 600; null rates give 0."""
-    r = np.clip(rate.fillna(0).to_numpy(float), 0, 600)
-    x = u.fillna(0).to_numpy(float)
+    """The least k with P(Poisson(rate) <= k) > u: a draw, if u is uniform. Null rates give 0."""
+    every, x = np.clip(rate.fillna(0).to_numpy(float), 0, None), u.fillna(0).to_numpy(float)
+    large = every > 600
+    r = np.where(large, 0.0, every)
     p = np.exp(-r)
     total, out = p.copy(), np.zeros(len(r), np.int64)
     for k in range(1, int(r.max(initial=0) + 10 * np.sqrt(r.max(initial=0)) + 40)):
-        below = total <= x
+        below = (total <= x) & ~large
         if not below.any():
             break
         out += below
         p = p * r / k
         total += p
+    for i in np.flatnonzero(large):
+        out[i] = _quantile_near(x[i], every[i])
     return pd.Series(out)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 from collections import Counter
 from itertools import combinations, permutations, product
 
@@ -113,6 +114,14 @@ def test_poisson_quantile_has_its_rate(spark):
     assert abs(mean - 3) < 0.15
 
 
+def test_poisson_quantile_of_large_rates(spark):
+    df = spark.range(4000).select(shaping.uniform("id").alias("u")).selectExpr("u", "5000.0D as rate")
+    draws = df.select(baseline.poisson_quantile("u", "rate").alias("k")).selectExpr("avg(k)", "stddev(k)").first()
+    assert abs(draws[0] - 5000) < 5 and abs(draws[1] - 5000**0.5) < 4
+    exact = lambda x, r: next(k for k, c in enumerate(np.cumsum(np.exp([k * np.log(r) - r - math.lgamma(k + 1) for k in range(1200)]))) if c > x)
+    assert all(baseline._quantile_near(x, r) == exact(x, r) for x in (0.001, 0.3, 0.5, 0.9999) for r in (601.5, 700.0))
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     chain = [(i, f"c{i}") for i in range(60)] + [(i + 1, f"c{i}") for i in range(60)]
     hub = [(i, "hub") for i in range(100, 180)]
