@@ -50,7 +50,18 @@ def p5_features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p5_found": p5_found, "p5_features": p5_features}
+TRAILING = {"last_7": 7, "last_30": 30}
+
+
+def p5_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Count and total of every player and type in the last 7 and 30 days up to the last day with an event."""
+    events = store(spark, d)
+    last = events.agg(F.max("day")).first()[0]
+    windows = {w: (None if last is None else last - n, None) for w, n in TRAILING.items()}
+    return window_features(events, "player_idx", "code", windows).select("player_idx", type_name(), *(f"{w}_{m}" for w in windows for m in ("count", "total")))
+
+
+QUERIES = {"p5_found": p5_found, "p5_features": p5_features, "p5_windows": p5_windows}
 
 _SECONDS = "CASE WHEN ts IS NULL OR isnan(ts) OR ts = 0 THEN NULL WHEN ts > 1e11 THEN ts / 1000 ELSE ts END"
 _EVENTS = f"""
@@ -71,4 +82,8 @@ ORACLES = {
     + ", ".join(f"CAST(coalesce(max(n) FILTER (k = '{t}'), 0) AS BIGINT) AS {t}_count, max(h) FILTER (k = '{t}') AS {t}_latest_hand" for t in TYPES)
     + ", CAST(coalesce(sum(total), 0) AS BIGINT) AS net_chips_total FROM (SELECT DISTINCT player_idx FROM seats WHERE player_idx IS NOT NULL) p "
     "LEFT JOIN last ON p.player_idx = last.player_idx GROUP BY 1",
+    "p5_windows": _EVENTS
+    + ", dated AS (SELECT player_idx, k, net, CAST(floor(t / 86400) AS BIGINT) AS day FROM ev JOIN times USING (hand_idx)), z AS (SELECT max(day) AS z FROM dated) SELECT player_idx, k AS event_type, "
+    + ", ".join(f"count(*) FILTER (day > z - {n}) AS {w}_count, CAST(coalesce(sum(net) FILTER (day > z - {n}), 0) AS BIGINT) AS {w}_total" for w, n in TRAILING.items())
+    + " FROM dated, z GROUP BY 1, 2",
 }

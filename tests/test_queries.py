@@ -58,3 +58,8 @@ def test_best_lists_shift_every_hand_of_a_pair(spark, data):
 
     sizes = rows(class_scores(spark, data).groupBy("pair_id").count())
     assert max(n for _, n in sizes) > 10 and rows(QUERIES["best_lists"](spark, data).selectExpr("pair_id", "size(shifted)")) == sizes
+
+
+def test_windows_of_whole_tables_are_bounded(spark, data):
+    f = QUERIES["p5_windows"](spark, data)
+    assert f.filter("last_7_count < last_30_count").count() > 0 and f.filter("last_7_count > last_30_count").count() == 0
