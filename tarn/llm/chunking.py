@@ -96,29 +96,66 @@ def landmarks(ids: np.ndarray, width: int, spacing: int) -> np.ndarray:
     return marks
 
 
-def cut_points(ids: np.ndarray, data: bytes, sizes: np.ndarray, limit: int, least: int, overlap: int, spacing: int, width: int, snap: int) -> list[tuple[int, int]]:
-    """(token position, level) of every cut of a text above the limit.
+def _sync_points(data: bytes) -> np.ndarray:
+    """Byte positions between a character and white space after it: there a token always ends, whatever stands around."""
+    raw = np.frombuffer(data, np.uint8)
+    space = _among(raw, b" \t\r\n\x0b\x0c")
+    return np.flatnonzero(space[1:] & ~space[:-1] & (raw[:-1] < 128)) + 1
+
+
+class Pieces:
+    """A tokenized text, and the exact token count of any of its parts."""
+
+    def __init__(self, text: str, path: str):
+        self.path, self.data = path, text.encode("utf-8", "replace")
+        self.ids = tokens.encode(self.data.decode(), path)
+        self.offsets = np.concatenate([[0], np.cumsum(tokens.lengths(path)[self.ids])])
+        self.raw = np.frombuffer(self.data + b"\n", np.uint8)
+        self.sync = _sync_points(self.data)
+
+    def before(self, at: int, overlap: int) -> int:
+        """Where a piece begins that repeats `overlap` tokens before a cut: at a whole character."""
+        start = max(0, at - overlap)
+        while start and (self.raw[self.offsets[start]] & 0xC0) == 0x80:
+            start -= 1
+        return start
+
+    def encoded(self, low: int, high: int) -> int:
+        return len(tokens.encode(self.data[low:high].decode("utf-8", "replace"), self.path))
+
+    def tokens(self, start: int, end: int) -> int:
+        """Tokens of the part as a text of its own: only up to the first and from the last sync point can they differ."""
+        low, high = int(self.offsets[start]), int(self.offsets[end])
+        a, b = np.searchsorted(self.sync, [low, high], side="left")
+        if a == b or self.sync[b - 1] >= high:
+            return self.encoded(low, high)
+        first, last = int(self.sync[a]), int(self.sync[b - 1])
+        inner = np.searchsorted(self.offsets, [first, last])
+        return self.encoded(low, first) + int(inner[1] - inner[0]) + self.encoded(last, high)
+
+
+def cut_points(text: Pieces, limit: int, least: int, overlap: int, spacing: int, width: int, snap: int) -> list[tuple[int, int, int, int]]:
+    """(start, cut, level, tokens) of every piece of a text above the limit, in token positions; the last cut is the end.
 
     From one cut to the next lie at least `least` and at most limit - overlap tokens (a few less, for characters of several
     tokens). In that range the first landmark is taken, or its end if there is none, and moved to the nearest of the
-    strongest boundaries within `snap` tokens, else to the nearest boundary in the range, else to the nearest start of a
-    word, else it stays.
+    strongest boundaries near it: sentences within 4 * snap tokens and stronger ones within 8 * snap go before lines and
+    fields within snap; else to the nearest boundary in the range, else to the nearest start of a word, else it stays. A cut
+    inside a word can change how the word is tokenized: a piece that so comes above the limit is cut earlier, it alone.
     """
-    n = len(ids)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    raw = np.frombuffer(data + b"\n", np.uint8)
+    ids, n, offsets, raw = text.ids, len(text.ids), text.offsets, text.raw
     whole = (raw[offsets] & 0xC0) != 0x80
     level = np.zeros(n + 1, np.int8)
     starts = np.flatnonzero(raw[offsets[:-1]] == 32)
     level[starts] = WORD
-    places, kinds = boundaries(data)
-    tokens_at = np.searchsorted(offsets, places)
-    np.maximum.at(level, tokens_at, kinds)
+    places, kinds = boundaries(text.data)
+    np.maximum.at(level, np.searchsorted(offsets, places), kinds)
     level[~whole] = 0
     marks = landmarks(ids, width, spacing)
     natural = np.flatnonzero(level > WORD)
     spaces = np.flatnonzero(level == WORD)
     allowed = np.flatnonzero(whole)
+    reach = snap * np.array([0, 0, 1, 4, 8, 8, 8, 0])
 
     def nearest(sorted_places: np.ndarray, low: int, high: int, to: int) -> int | None:
         a, b = np.searchsorted(sorted_places, [low, high + 1])
@@ -128,65 +165,53 @@ def cut_points(ids: np.ndarray, data: bytes, sizes: np.ndarray, limit: int, leas
         best = [int(sorted_places[j]) for j in (k - 1, k) if a <= j < b]
         return min(best, key=lambda p: (abs(p - to), p))
 
-    cuts, at, most = [], 0, limit - overlap - 2 * SLACK
-    while n - at > most:
-        low, high = at + least, at + most
+    def choose(low: int, high: int) -> int:
         hit = np.flatnonzero(marks[low : high + 1])
         to = low + int(hit[0]) if len(hit) else high
-        near = natural[np.searchsorted(natural, max(low, to - snap)) : np.searchsorted(natural, min(high, to + snap) + 1)]
+        near = natural[np.searchsorted(natural, max(low, to - 8 * snap)) : np.searchsorted(natural, min(high, to + 8 * snap) + 1)]
+        near = near[np.abs(near - to) <= reach[level[near]]]
         if len(near):
-            near = near[level[near] == level[near].max()]
-            best = nearest(near, low, high, to)
-        else:
-            best = nearest(natural, low, high, to)
-        if best is None:
-            best = nearest(spaces, low, high, to)
-        if best is None:
-            best = nearest(allowed, low, high, to)
-        if best is None:  # bytes that form no characters
-            best = to
-        cuts.append((best, int(level[best])))
-        at = best
-    return cuts
+            return nearest(near[level[near] == level[near].max()], low, high, to)
+        found = (nearest(p, low, high, to) for p in (natural, spaces, allowed))
+        return next((p for p in found if p is not None), to)  # `to`: bytes that form no characters
+
+    out, at, most = [], 0, limit - overlap - 2 * SLACK
+    start = 0
+    while True:
+        if n - at <= most:
+            size = text.tokens(start, n)
+            if size <= limit or n - at <= 1:
+                return [*out, (start, n, len(KINDS) - 1, size)]
+        high = min(at + most, n - 1)
+        while True:
+            low = min(at + least, high)
+            end = choose(low, high)
+            size = text.tokens(start, end)
+            if size <= limit or high <= at + 1:
+                break
+            high = max(at + 1, min(end - 1, high - (size - limit)))
+        out.append((start, end, int(level[end]), size))
+        at, start = end, text.before(end, overlap)
 
 
 def pieces(text: str, limit: int, least: int, overlap: int, spacing: int, width: int, snap: int, path: str) -> list[tuple]:
     """(piece_no, start_token, end_token, start_char, end_char, n_tokens, repeated_tokens, boundary, text); [] within the limit.
 
-    n_tokens is the count of the piece's own text, at most the limit: a cut inside a word can change how the word is
-    tokenized, so pieces near the limit are counted again and, if need be, the text is cut again somewhat shorter.
+    n_tokens is the count of the piece's own text, at most the limit.
     """
-    data = text.encode("utf-8", "replace")
-    if len(data) <= limit:
+    if len(text.encode("utf-8", "replace")) <= limit:
         return []
-    text = data.decode()
-    ids = tokens.encode(text, path)
-    if len(ids) <= limit:
+    whole = Pieces(text, path)
+    if len(whole.ids) <= limit:
         return []
-    sizes = tokens.lengths(path)[ids]
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    raw = np.frombuffer(data + b"\n", np.uint8)
-    room = limit
-    while True:
-        cuts = cut_points(ids, data, sizes, room, min(least, max(1, (room - overlap) // 2)), overlap, spacing, width, snap)
-        ends = [c for c, _ in cuts] + [len(ids)]
-        kinds = [k for _, k in cuts] + [len(KINDS) - 1]
-        out, start_char, before = [], 0, 0
-        for number, (end, kind) in enumerate(zip(ends, kinds)):
-            start = max(0, before - overlap) if number else 0
-            while start and (raw[offsets[start]] & 0xC0) == 0x80:
-                start -= 1
-            own = data[offsets[before] : offsets[end]].decode("utf-8", "replace")
-            repeated = data[offsets[start] : offsets[before]].decode("utf-8", "replace")
-            n = end - start
-            if n > limit - 32:
-                n = len(tokens.encode(repeated + own, path))
-            out.append((number, start, end, start_char - len(repeated), start_char + len(own), n, before - start, KINDS[kind], repeated + own))
-            start_char += len(own)
-            before = end
-        if all(p[5] <= limit for p in out) or room <= overlap + 4 * SLACK + 2:
-            return out
-        room -= max(2, max(p[5] for p in out) - limit)
+    out, start_char, before = [], 0, 0
+    for number, (start, end, kind, n) in enumerate(cut_points(whole, limit, least, overlap, spacing, width, snap)):
+        own = whole.data[whole.offsets[before] : whole.offsets[end]].decode("utf-8", "replace")
+        repeated = whole.data[whole.offsets[start] : whole.offsets[before]].decode("utf-8", "replace")
+        out.append((number, start, end, start_char - len(repeated), start_char + len(own), n, before - start, KINDS[kind], repeated + own))
+        start_char += len(own)
+        before = end
+    return out
 
 
 SCHEMA = pa.schema(

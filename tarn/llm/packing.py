@@ -51,17 +51,22 @@ class Bins:
             self.filled |= 1 << (old - size)
 
 
-def pack(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[list[tuple[int, int, int]]]:
+def pack(sizes: list[int], sources: list, clusters: list, capacity: int, strict: bool | None = None) -> list[list[tuple[int, int, int]]]:
     """For each item its pieces (bin, start, length). Items come largest first, equal clusters together.
 
-    Two items of one cluster never share a bin. Among the bins with room, one without the item's source is preferred, the
-    tightest first; if there is none, the tightest that holds no item of its cluster. An item above the capacity is
-    divided: full bins of its own, and a last piece packed like any item.
+    Two items of one cluster never share a bin, nor two of one source: the tightest bin with room that holds neither is taken,
+    else a new one is opened. A source with more than half as many items as all sizes fill bins cannot be kept apart without
+    waste: where every bin with room holds it, the tightest without the cluster is taken instead. strict keeps all sources
+    apart (True) or none (False). An item above the capacity is divided: full bins of its own, and a last piece packed like any item.
     """
     bins, out = Bins(capacity), [[] for _ in sizes]
     bit_of_source = {s: 1 << i for i, s in enumerate(dict.fromkeys(s for s in sources if s is not None))}
     copies = Counter(c for c in clusters if c is not None)
     bit_of_cluster = {c: 1 << i for i, c in enumerate(c for c, n in copies.items() if n > 1)}
+    per_source = Counter(sources)
+    apart = lambda s: strict if strict is not None else 2 * per_source[s] * capacity <= sum_of_sizes
+    sum_of_sizes = max(sum(sizes), 2 * capacity)
+    hard = {bit for s, bit in bit_of_source.items() if apart(s)}
     work = []
     for i, size in enumerate(sizes):
         start = 0
@@ -72,15 +77,15 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int) -> list
             start += capacity
         work.append((start - size, i, start))
     order = sorted(work, key=lambda w: (w[0], bit_of_cluster.get(clusters[w[1]], 0), bit_of_source.get(sources[w[1]], 0)))
-    last, strict, loose = None, iter(()), iter(())
+    last, free, loose = None, iter(()), iter(())
     for negative, i, start in order:
         size, source, cluster = -negative, bit_of_source.get(sources[i], 0), bit_of_cluster.get(clusters[i], 0)
-        if not cluster or last != (size, source, cluster):
-            strict, loose = bins.compatible(size, source, cluster), bins.compatible(size, 0, cluster)
+        if last != (size, source, cluster) or not (cluster or source in hard):
+            free, loose = bins.compatible(size, source, cluster), bins.compatible(size, 0, cluster)
         last = (size, source, cluster)
         # Equal items in a row go on with the same search: the bins it passed hold their cluster or source for good.
-        b = next((b for b in strict if not bins.clusters[b] & cluster), None)
-        if b is None:
+        b = next((b for b in free if not (bins.clusters[b] & cluster or bins.sources[b] & source) and bins.residual[b] >= size), None)
+        if b is None and source not in hard:
             b = next((b for b in loose if not bins.clusters[b] & cluster and bins.residual[b] >= size), None)
         if b is None:
             b = bins.open()
@@ -89,12 +94,11 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int) -> list
     return out
 
 
-def containers(items: DataFrame, ident: str, size: str, source: str, cluster: str, capacity: int, shard_items: int = 20_000) -> DataFrame:
+def containers(items: DataFrame, ident: str, size: str, source: str, cluster: str, capacity: int, strict: bool | None = None, shard_items: int = 20_000) -> DataFrame:
     """(ident, piece_no, start, length, container): the container of every item, or of every piece of an item above capacity.
 
-    A container holds at most `capacity`, never two items of one cluster, and as few items of one source as fit allows; see
-    pack(). A null ident does not count; a repeated ident is one item, of its largest size; a null or negative size is 0,
-    and such items go to a container like the others; a null source or cluster conflicts with nothing. Ties go by ident.
+    A container holds at most `capacity`, never two items of one cluster nor of one source, unless that is too common; see pack(). A null ident does
+    not count; a repeated ident is one item, of its largest size; a null or negative size is 0, and such items go to a container like the others; a null source or cluster conflicts with nothing. Ties go by ident.
     Other columns are ignored; an empty input gives no rows.
 
     Items are hashed to shards of about shard_items, packed independently: a shard leaves only its last containers partly
@@ -117,7 +121,7 @@ def containers(items: DataFrame, ident: str, size: str, source: str, cluster: st
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i", ignore_index=True)
         none = lambda column: [None if pd.isna(x) else x for x in frame[column]]
-        placed = pack(frame["n"].tolist(), none("s"), none("c"), capacity)
+        placed = pack(frame["n"].tolist(), none("s"), none("c"), capacity, strict)
         rows = [(i, k, start, length, (int(key[0]) << 32) + b) for i, pieces in zip(frame["i"], placed) for k, (b, start, length) in enumerate(pieces)]
         return pd.DataFrame(rows, columns=["i", "piece_no", "start", "length", "container"])
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.operators.graph import connected_components
+from tarn.operators.skew import salted_join
 from tarn.plans.lineage import cut
 
 
@@ -61,8 +62,9 @@ def balanced_splits(groups: DataFrame, group: str, weight: str, shares: dict[str
     groups has one row per group. A null group does not count; a null weight counts as 0; other columns are ignored; an
     empty input gives no rows. Equal weights are taken in the order of the group, so the result is repeatable.
 
-    Groups are hashed to tasks of about task_rows, each of which differences its own into `bins` sums. One task then
-    differences those sums (rows / task_rows * bins of them) in the same way and gives the bins to the splits.
+    Groups are hashed to tasks of about task_rows, each of which differences its own into `bins` sums; the sums of about
+    task_rows / bins tasks are differenced again in the same way, level by level, until one task holds them all and gives the
+    bins to the splits. So no task holds more than about task_rows weights at any number of groups.
     """
     clean = groups.select(F.col(group).alias("g"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w")).filter("g is not null")
     clean = cut(clean)
@@ -79,19 +81,33 @@ def balanced_splits(groups: DataFrame, group: str, weight: str, shares: dict[str
         .applyInPandas(local, f"g {kind}, w double, part int, slot int")
     )
 
-    def combine(frame: pd.DataFrame) -> pd.DataFrame:
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["part", "slot"], ignore_index=True)
+        return frame.assign(next_slot=largest_differencing(frame["w"].tolist(), bins))
+
+    def last(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["part", "slot"], ignore_index=True)
-        sums = frame["w"].tolist()
-        of = largest_differencing(sums, bins)
         total = [0.0] * bins
-        for w, b in zip(sums, of):
+        for w, b in zip(frame["w"], frame["slot"]):
             total[b] += w
         split = allocate(total, shares)
-        return frame.assign(bin=of, split=[split[b] for b in of])[["part", "slot", "bin", "split"]]
-
-    whole = (
-        placed.groupBy("part", "slot").agg(F.sum("w").alias("w")).groupBy().applyInPandas(combine, "part int, slot int, bin int, split string")
-    )
+        return frame.assign(bin=frame["slot"], split=[split[b] for b in frame["slot"]])[["part", "slot", "bin", "split"]]
+
+    fan = max(2, task_rows // bins)
+    sums, maps = placed.groupBy("part", "slot").agg(F.sum("w").alias("w")), []
+    while parts > 1:
+        parts = -(-parts // fan)
+        merged = cut(
+            sums.withColumn("next_part", F.pmod(F.col("part"), F.lit(parts)).cast("int"))
+            .groupBy("next_part")
+            .applyInPandas(merge, "part int, slot int, w double, next_part int, next_slot int")
+        )
+        maps.append(merged.drop("w"))
+        sums = merged.groupBy(F.col("next_part").alias("part"), F.col("next_slot").alias("slot")).agg(F.sum("w").alias("w"))
+    whole = sums.groupBy().applyInPandas(last, "part int, slot int, bin int, split string")
+    for m in reversed(maps):
+        back = m.join(whole.withColumnsRenamed({"part": "next_part", "slot": "next_slot"}), ["next_part", "next_slot"])
+        whole = back.select("part", "slot", "bin", "split")
     return placed.join(whole, ["part", "slot"]).select(F.col("g").alias(group), F.col("w").alias(weight), "bin", "split")
 
 
@@ -104,16 +120,14 @@ def related_splits(records: DataFrame, record: str, links: DataFrame, via: str,
     tied = connected_components(links, record, via).withColumnRenamed("component", "group_id")
     alone = records.select(record).filter(F.col(record).isNotNull()).distinct().join(tied, record, "left_anti")
     members = cut(tied.unionByName(alone.withColumn("group_id", F.col(record))))
-    placed = balanced_splits(members.groupBy("group_id").agg(F.count(F.lit(1)).alias("w")), "group_id", "w", shares, bins)
-    return members.join(placed.drop("w"), "group_id").select(record, "group_id", "bin", "split")
+    sizes = cut(members.groupBy("group_id").agg(F.count(F.lit(1)).alias("w")))
+    placed = balanced_splits(sizes, "group_id", "w", shares, bins)
+    return salted_join(members, placed, ["group_id"], "w", [record]).select(record, "group_id", "bin", "split")
 
 
 def torn_groups(members: DataFrame, record: str, folds: DataFrame, fold: str) -> DataFrame:
     """(record, group_id) of every group whose records hold more than one different filled fold."""
-    torn = (
-        members.join(folds.select(record, F.col(fold).alias("f")), record)
-        .groupBy("group_id")
-        .agg(F.min("f").alias("low"), F.max("f").alias("high"))
-        .filter("low < high")
-    )
-    return members.join(torn, "group_id", "left_semi").select(record, "group_id")
+    span = folds.filter(F.col(fold).isNotNull()).groupBy(record).agg(F.min(fold).alias("low"), F.max(fold).alias("high"))
+    known = cut(members.select(record, "group_id").join(span, record, "left"))
+    torn = known.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("l"), F.max("high").alias("h"))
+    return salted_join(known, torn.filter("l < h").select("group_id", "n"), ["group_id"], "n", [record]).select(record, "group_id")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -31,14 +32,14 @@ def patterns_by_force(seqs, least, low, high):
     return {(p, c, len(w)) for (p, c), w in has.items() if len(w) >= least}
 
 
-@pytest.mark.parametrize("chunk", [1, 4, 1000])
-def test_subsequences_against_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "task"), [(1, 10**6), (4, 20), (1000, 10**6), (50, 1)])
+def test_subsequences_against_brute_force(spark, chunk, task):
     r = random.Random(chunk)
     hot = lambda: 0 if r.random() < 0.4 else r.randrange(1, 4)
     seqs = [(hot(), r.randrange(25), [r.choice("abcd") for _ in range(r.randrange(0, 8))]) for _ in range(300)]
     seqs += seqs[:20] + [(None, 1, ["a", "b", "c"]), (0, None, ["a", "b", "c"]), (0, 1, None), (0, 2, ["a", None, "b", "c"])]
     df = spark.createDataFrame(seqs, "t int, w int, s array<string>").withColumns({"part": F.lit(1), "who": F.lit("x"), "db": F.lit(2)})
-    found = subsequences.frequent_subsequences(df, "t", "w", "s", 7, 2, 4, chunk_sequences=chunk, least_local=2)
+    found = subsequences.frequent_subsequences(df, "t", "w", "s", 7, 2, 4, chunk_sequences=chunk, least_local=2, task_sequences=task)
     assert {(p[0], tuple(p[1]), p[2]) for p in found.select("t", "pattern", "support").collect()} == patterns_by_force(seqs, 7, 2, 4)
 
 
@@ -47,10 +48,46 @@ def test_subsequences_of_nothing(spark):
     assert subsequences.frequent_subsequences(df, "t", "w", "s", 2).count() == 0
 
 
+def sequences(entities):
+    """Entities of one partition, each a list of sequences, as the miner sees them."""
+    rows = [(1, 0, None, None, i, s) for i, own in enumerate(entities) for s in own]
+    names = [*subsequences.KEYS, "who", "s"]
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())]
+    return subsequences.Sequences(pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names))
+
+
+def mined(entities, least, low, high):
+    data = sequences(entities)
+    words = data.words.to_pylist()
+    return {tuple(words[i] for i in p) for _, grown in subsequences.mine(data, np.array([least]), low, high) for p in grown}
+
+
 def test_long_sequences_do_not_explode():
     long = [["x"] * 400 + [str(i) for i in range(300)]]
-    assert subsequences.mine([long, [["x", "x", "x"]]], 2, 3, 5) == [("x", "x", "x")]
-    assert subsequences.count([long, [["x", "x"]]], [["x", "x", "x"], ["x", "x"]]) == [1, 2]
+    assert mined([long, [["x", "x", "x"]]], 2, 3, 5) == {("x", "x", "x")}
+
+
+def test_a_chunk_is_mined_alike_in_small_runs(monkeypatch):
+    r = random.Random(3)
+    entities = [[[r.choice("abcde") for _ in range(r.randrange(3, 9))] for _ in range(r.randrange(1, 4))] for _ in range(40)]
+    every = mined(entities, 6, 2, 4)
+    has = Counter(c for own in entities for c in {c for s in own for n in (2, 3, 4) for c in combinations(s, n)})
+    assert every == {c for c, n in has.items() if n >= 6}
+    monkeypatch.setattr(subsequences, "EXTENDED", 10)
+    assert mined(entities, 6, 2, 4) == every
+    data = sequences(entities)
+    code = {w: i for i, w in enumerate(data.words.to_pylist())}
+    asked = [*sorted(every)[:50], ("a", "a", "a", "a")]
+    found = subsequences.count(data, np.zeros(len(asked), np.int64), [np.array([code[w] for w in p]) for p in asked])
+    assert found.tolist() == [has[p] for p in asked]
+
+
+def test_a_wrong_local_support_would_lose_patterns(spark):
+    """Twelve entities have the pattern, spread over chunks that are mined one by one: no chunk alone has it twelve times."""
+    rows = [(0, w, [1, 2, 3]) for w in range(12)] + [(0, w, [4, 5, 6 + w]) for w in range(12, 60)]
+    df = spark.createDataFrame(rows, "t int, w int, s array<int>")
+    found = subsequences.frequent_subsequences(df, "t", "w", "s", 12, chunk_sequences=5).collect()
+    assert [(r["pattern"], r["support"]) for r in found] == [([1, 2, 3], 12)]
 
 
 # Problem 2
@@ -81,6 +118,14 @@ def test_balanced_splits_follow_the_shares(spark):
     assert splits.balanced_splits(df.limit(0), "g", "w", {"a": 1.0}).count() == 0
 
 
+def test_sums_are_combined_over_several_levels(spark):
+    df = spark.range(4000).selectExpr("id as g", "1 + id % 5 as w")
+    out = splits.balanced_splits(df, "g", "w", {"a": 0.7, "b": 0.3}, 10, task_rows=40).cache()
+    per_bin = [r["w"] for r in out.groupBy("bin").agg(F.sum("w").alias("w")).collect()]
+    assert out.count() == 4000 and len(per_bin) == 10 and max(per_bin) - min(per_bin) <= 5
+    assert abs(out.filter("split = 'a'").agg(F.sum("w")).first()[0] / 12000 - 0.7) < 0.01
+
+
 def test_a_group_with_a_third_of_all_records_stays_whole(spark):
     links = spark.range(300).selectExpr("cast(id as int) as r", "case when id < 100 then 'hot' else concat('p', id div 2) end as p")
     out = splits.related_splits(links.select("r"), "r", links, "p", {"train": 0.8, "validation": 0.1, "test": 0.1})
@@ -116,6 +161,12 @@ def test_pairs_against_brute_force(spark):
     assert item_pairs(df.limit(0), "s", "items").count() == 0
 
 
+def test_a_large_basket_is_cut_into_blocks(spark):
+    df = spark.createDataFrame([(0, list(range(57))), (0, [3, 9]), (1, list(range(10, 33)))], "s int, items array<int>")
+    whole = sorted(map(tuple, item_pairs(df, "s", "items").collect()), key=str)
+    assert sorted(map(tuple, item_pairs(df, "s", "items", block=10).collect()), key=str) == whole and len(whole) == 57 * 28 + 23 * 11
+
+
 # Problem 4
 
 
@@ -174,6 +225,18 @@ def test_packing_is_nearly_full():
     assert sum(sizes) / (len(load) * 4096) > 0.99
 
 
+def test_sources_are_kept_apart_unless_one_is_too_common():
+    r = random.Random(9)
+    sizes = [r.randrange(50, 900) for _ in range(2000)]
+    sources = [r.choice("abcdefghijklmnopqrst") for _ in sizes]
+    def shared(s, strict=None):
+        held = Counter((b, x) for x, own in zip(s, packing.pack(sizes, s, [None] * 2000, 2048, strict)) for b, _, _ in own)
+        return {x for (_, x), n in held.items() if n > 1}
+    assert shared(sources) == set() and shared(sources, False)
+    hot = [x if i % 3 else "hot" for i, x in enumerate(sources)]
+    assert shared(hot) == {"hot"} and shared(hot, True) == set()
+
+
 def test_a_cluster_with_a_third_of_all_rows(spark):
     df = spark.range(3000).selectExpr("id", "100 + id % 50 as n", "'s' as source", "case when id % 3 = 0 then 'copies' end as c", "1 as container")
     out = packing.containers(df, "id", "n", "source", "c", 1000, shard_items=700)
@@ -210,7 +273,7 @@ def overlaps_by_force(docs, items, window, most):
     return out
 
 
-@pytest.mark.parametrize("block", [10**6, 60])
+@pytest.mark.parametrize("block", [10**6, 0])
 def test_leaks_against_brute_force(spark, block):
     r = random.Random(7)
     text = lambda n: " ".join(r.choice("abcdefgh") + r.choice("01") for _ in range(n))
@@ -232,6 +295,14 @@ def test_leaks_against_brute_force(spark, block):
     assert find([], items).count() == 0 and find(docs, []).count() == 0
 
 
+def test_many_items_share_a_passage_with_many_documents(spark):
+    shared = " ".join(f"w{i}" for i in range(14))
+    items = spark.range(300).select("id", F.concat(F.lit(shared), F.lit(" own"), "id").alias("x"))
+    docs = spark.range(200).select("id", F.when(F.col("id") % 3 == 0, F.lit(shared.replace("w5", "new"))).otherwise("none of it").alias("t"))
+    out = leakage.leaked_items(docs, "id", "t", items.withColumnRenamed("id", "i"), "i", "x", block_words=0)
+    assert out.count() == 67 * 300 and {r[0] for r in out.select("substitutions").distinct().collect()} == {1}
+
+
 def test_readable_texts_of_a_nested_message():
     passage = "The second loom of Belonna isn't far and the brewers know it well by now"
     html = f"<html><style>p{{}}</style><body><p>{passage.replace(' ', '&nbsp; ').replace(chr(39), '&rsquo;')}</p></body></html>"
@@ -282,10 +353,20 @@ ODD = ["a" * 3000, "漢字仮名" * 400, "😀" * 600, "\n" * 3000, " " * 3000,
 def test_pieces_of_odd_texts(text):
     found = split(text)
     assert not found or whole(found) == text
-    assert all(len(tokens.encode(p[8], tokens.VOCABULARY)) <= 128 for p in found)
+    assert all(len(tokens.encode(p[8], tokens.VOCABULARY)) == p[5] <= 128 for p in found)
     assert all(16 <= p[6] <= 19 for p in found[1:]) and [p[0] for p in found] == list(range(len(found)))
 
 
+def test_token_counts_are_exact():
+    r = random.Random(10)
+    text = "".join(r.choice(["word", " ", "  \n", "don't", "12", "é", "漢", "...", "\t", " Aa"]) for _ in range(3000))
+    whole_text = chunking.Pieces(text, tokens.VOCABULARY)
+    for _ in range(200):
+        a, b = sorted(r.sample(range(len(whole_text.ids)), 2))
+        part = whole_text.data[whole_text.offsets[a] : whole_text.offsets[b]].decode("utf-8", "replace")
+        assert whole_text.tokens(a, b) == len(tokens.encode(part, tokens.VOCABULARY))
+
+
 def test_cuts_lie_at_boundaries_where_there_are_any():
     text = "\n\n".join(" ".join(f"Sentence {i} of part {j} says little." for i in range(6)) for j in range(60))
     assert {p[7] for p in split(text)} <= {"paragraph", "sentence", "line", "end"}
