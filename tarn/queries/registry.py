@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarn.queries import domain, evidence, features, relational, streams
+from tarn.queries import domain, evidence, features, pairhand, relational, streams
 
-MODULES = [features, relational, domain, evidence, streams]
+MODULES = [features, relational, domain, evidence, pairhand, streams]
 
 
 def queries() -> dict:
