@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.operators import events as E
 from tarn.operators import pairhand as P
 from tarn.plans.lineage import cut
 from tarn.queries.base import ACTIONS, HANDS, SEATS
@@ -121,3 +122,80 @@ def starting_hand_rates(spark: SparkSession, d: str) -> DataFrame:
     """What players do before the flop with a starting hand, by raises, place and callers, falling back where rows are few."""
     r = P.population_rates(hand_log(spark, d))
     return r.select("cls", F.col("nr").cast("int").alias("nr"), "pos", F.col("nc").cast("int").alias("nc"), "n", *(F.round(c, 6).alias(c) for c in ("p_aggr", "p_fold", "p_call")))
+
+
+# Directed events
+
+
+_SINCE = {"xnew": "prior is not null and not array_contains(prior, x.p)", "ynew": "prior is not null and not array_contains(prior, y.p)", "xgone": "later is not null and not array_contains(later, x.p)", "ygone": "later is not null and not array_contains(later, y.p)"}
+
+
+def lined_up(h: DataFrame) -> DataFrame:
+    """Hands with the players of the hand before and after at their table, null if that hand is not in the log."""
+    own = h.filter("table_idx is not null and hand_seq is not null").select("table_idx", "hand_seq", F.explode("seats.p").alias("p")).groupBy("table_idx", "hand_seq").agg(F.collect_set("p").alias("m"))
+    for name, step in (("prior", 1), ("later", -1)):
+        h = h.join(own.select("table_idx", (F.col("hand_seq") + step).alias("hand_seq"), F.col("m").alias(name)), ["table_idx", "hand_seq"], "left")
+    return h
+
+
+def event_totals(spark: SparkSession, d: str) -> DataFrame:
+    h = hand_log(spark, d)
+    return E.event_counts(E.event_masks(P.meetings(lined_up(h), P.population_rates(h), more=_SINCE)))
+
+
+_COUNTS = _XY + f""", em AS (SELECT hand_idx, table_idx, hand_seq, phase, x, y, bit_or({E.mask(E.EVENTS, False)}) AS opp, bit_or({E.mask(E.EVENTS, True)}) AS hit FROM xy WHERE table_idx IS NOT NULL GROUP BY ALL),
+ew AS (SELECT w."window", em.* FROM em JOIN (VALUES {", ".join(f"('{n}')" for n in E.WINDOWS)}) w("window") ON CASE w."window" {" ".join(f"WHEN '{n}' THEN {E.in_window(w)}" for n, w in E.WINDOWS.items())} END),
+ec AS (SELECT "window", table_idx, x, y, event, CAST(sum((opp >> i) & 1) AS BIGINT) AS opp, CAST(sum((hit >> i) & 1) AS BIGINT) AS hit FROM ew, (VALUES {", ".join(f"({i}, '{e}')" for i, e in enumerate(E.EVENTS))}) v(i, event) GROUP BY ALL HAVING sum((opp >> i) & 1) > 0)"""
+_SCORES = _COUNTS + f""", e0 AS (SELECT *, greatest(sum(hit) OVER w::DOUBLE / sum(opp) OVER w, 1e-6) AS p FROM ec WINDOW w AS (PARTITION BY "window", table_idx, event)),
+e1 AS (SELECT *, (sum(hit) OVER wx - hit + {E.SHRINK} * p) / (sum(opp) OVER wx - opp + {E.SHRINK}) AS px, (sum(hit) OVER wy - hit + {E.SHRINK} * p) / (sum(opp) OVER wy - opp + {E.SHRINK}) AS py FROM e0 WINDOW wx AS (PARTITION BY "window", table_idx, event, x), wy AS (PARTITION BY "window", table_idx, event, y)),
+e2 AS (SELECT *, opp * least(px * py / p, 1) AS expected, greatest(opp * least(px * py / p, 1), {E.FLOOR}) AS f FROM e1),
+e3 AS (SELECT *, sign(hit - f) * 2 * greatest(CASE WHEN hit > 0 THEN hit * ln(hit / f) ELSE 0 END - (hit - f), 0) AS g, round(ln((hit + 1) / (expected + 1)), 9) AS l FROM e2),
+sc AS (SELECT *, l = max(l) OVER (PARTITION BY "window", table_idx, event, x) AS row_top, l = max(l) OVER (PARTITION BY "window", table_idx, event, y) AS col_top FROM e3),
+bw AS (SELECT "window", table_idx, least(x, y) AS a, greatest(x, y) AS b, event, """ + ", ".join(f"coalesce(max({c}) FILTER (x {o} y), {none}) AS {n}_{d}" for d, o in (("ab", "<"), ("ba", ">")) for c, n, none in (("g", "g", "0"), ("row_top", "rt", "false"), ("col_top", "ct", "false"))) + " FROM sc GROUP BY 1, 2, 3, 4, 5)"
+_TOP = "(CASE WHEN g_ab >= g_ba THEN rt_ab AND ct_ab ELSE rt_ba AND ct_ba END)"
+_G = "greatest(g_ab, g_ba)"
+
+
+@query(_COUNTS + " SELECT * FROM ec")
+def event_table(spark: SparkSession, d: str) -> DataFrame:
+    """Opportunities and hits of 46 events, from every player to every co-player, by window and table."""
+    return event_totals(spark, d)
+
+
+@query(_SCORES + f""" SELECT "window", table_idx, a, b, """ + ", ".join(f"count(*) FILTER ({_G} >= {k} AND {_TOP}) AS k{k}" for k in (6, 10, 16)) + f""", round(sum(least(greatest({_G}, 0), {E.CAP})), 3) AS g_pos, round(sum(CASE WHEN {_TOP} THEN least(greatest({_G}, 0), {E.CAP}) ELSE 0 END), 3) AS g_top,
+round(max({_G}), 3) AS g_max, round(sum(least(greatest(least(g_ab, g_ba), 0), {E.CAP})), 3) AS g_sym FROM bw WHERE event NOT IN ({", ".join(f"'{e}'" for e in E.NOT_MINED)}) GROUP BY 1, 2, 3, 4""")
+def multi_event_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of a pair over all events: how many stand out at the top of both lists, and sums and maximum of the deviances."""
+    m = E.mined(E.both_ways(E.event_scores(event_totals(spark, d))))
+    return m.select("window", "table_idx", "a", "b", "k6", "k10", "k16", *(F.round(c, 3).alias(c) for c in ("g_pos", "g_top", "g_max", "g_sym")))
+
+
+_FLAGGED = _SCORES + ", fg AS (" + " UNION ALL ".join(f"""SELECT "window", table_idx, a, b, event, '{f}' AS flag FROM bw WHERE {e}""" for f, e in E.tail_flags().items()) + ")"
+
+
+@query(_FLAGGED + """, pf AS (SELECT event, flag, table_idx, a, b, bool_or("window" = 'first') AS one, bool_or("window" = 'second') AS two FROM fg WHERE "window" IN ('first', 'second') GROUP BY ALL)
+SELECT event, flag, count(*) FILTER (one AND NOT two) AS first_only, count(*) FILTER (two AND NOT one) AS second_only, count(*) FILTER (one AND two) AS both_phases, round((count(*) FILTER (two AND NOT one) - count(*) FILTER (one AND NOT two)) / sqrt(greatest(count(*) FILTER (one <> two), 1)), 6) AS z FROM pf GROUP BY 1, 2""")
+def phase_excess(spark: SparkSession, d: str) -> DataFrame:
+    """For every event and tail flag, pairs flagged in one phase only, and McNemar's z of the second phase against the first."""
+    f = E.flagged(E.both_ways(E.event_scores(event_totals(spark, d)))).filter("window in ('first', 'second')")
+    has = lambda w: F.bool_or(F.col("window") == w)
+    p = f.groupBy("event", "flag", "table_idx", "a", "b").agg(has("first").alias("one"), has("second").alias("two"))
+    one, two = F.count_if(F.col("one") & ~F.col("two")), F.count_if(F.col("two") & ~F.col("one"))
+    return p.groupBy("event", "flag").agg(one.alias("first_only"), two.alias("second_only"), F.count_if(F.col("one") & F.col("two")).alias("both_phases"), F.round((two - one) / F.sqrt(F.greatest(one + two, F.lit(1))), 6).alias("z"))
+
+
+@query()
+def event_excess(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs flagged per event and tail flag, beside three nulls: the same pairs redrawn under independence, the share among
+    labelled negatives carried over to all pairs, and the other phase."""
+    scores = cut(E.event_scores(event_totals(spark, d)))
+    lab = table(spark, d, "labels").filter("label = 0 and p1 is not null and p2 is not null").select(F.col("p1").alias("a"), F.col("p2").alias("b")).distinct().withColumn("neg", F.lit(True))
+    every = scores.filter("window = 'first'").select("table_idx", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(lab, ["a", "b"], "left")
+    size = every.agg(F.count(F.lit(1)).alias("pairs"), F.count("neg").alias("negatives"))
+    seen = E.flagged(E.both_ways(scores)).join(lab, ["a", "b"], "left")
+    null = E.flagged(E.both_ways(E.event_scores(E.redrawn(scores)))).filter("window = 'first'").groupBy("event", "flag").agg(F.count(F.lit(1)).alias("redrawn"))
+    counts = seen.groupBy("event", "flag").agg(F.count_if(F.col("window") == "first").alias("seen"), F.count_if(F.col("window") == "second").alias("other_phase"), F.count_if((F.col("window") == "first") & F.col("neg")).alias("k"))
+    out = counts.join(null, ["event", "flag"], "full").crossJoin(F.broadcast(size))  # one row
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    carried = F.coalesce(F.try_divide(zero("k") * F.col("pairs"), F.col("negatives")), F.lit(0.0))
+    return out.select("event", "flag", zero("seen").alias("seen"), zero("redrawn").alias("redrawn"), carried.alias("from_negatives"), zero("other_phase").alias("other_phase"), (zero("seen") - F.greatest(zero("redrawn"), carried)).alias("excess"))
