@@ -126,8 +126,8 @@ def _boards(deck: np.ndarray, known: int, simulations: int, seed: np.ndarray) ->
     """(hand, run, card): all ways to complete a board of `known` cards from each hand's deck, or seeded random ones."""
     need = 5 - known
     if known:
-        at = np.array(list(combinations(range(deck.shape[1]), need)), np.int64).reshape(-1, need)
-        return deck[:, at]
+        every = list(combinations(range(deck.shape[1]), need))
+        return deck[:, np.array(every, np.int64).reshape(len(every), need)]
     out = np.empty((len(deck), simulations, 5), np.int64)
     for i, own in enumerate(deck):
         out[i] = own[np.argsort(np.random.default_rng(int(seed[i])).random((simulations, len(own))), axis=1)[:, :5]]

@@ -8,7 +8,7 @@ of expressions over the columns that meetings() names; a row without a step (s i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.operators.cards import class_169
@@ -65,10 +65,10 @@ def hand_rows(hands: DataFrame, seats: DataFrame, steps: DataFrame) -> DataFrame
         'vol_no', {first("a.street = 0 and (a.aggr or a.calls)")}, 'aggr_no', {first("a.aggr")}, 'pfr_no', {first("a.street = 0 and a.aggr")}, 'allin', exists(acts, a -> a.player_idx = s.player_idx and a.street = 0 and a.action = 5))"""
     h = h.withColumn("seats", F.expr(f"transform(seats, s -> {seat})"))
     at = lambda no: f"get(filter(acts, a -> a.k = s.{no}), 0)"
-    more = f"""named_struct('p', s.p, 'pos', s.pos, 'net', s.net, 'sd', s.sd, 'con', s.con, 'seat_no', s.seat_no, 'c1', s.c1, 'c2', s.c2, 'cls', s.cls, 'first_no', s.first_no, 'fold_no', s.fold_no,
+    more = f"""named_struct('p', s.p, 'i', i, 'pos', s.pos, 'net', s.net, 'sd', s.sd, 'con', s.con, 'seat_no', s.seat_no, 'c1', s.c1, 'c2', s.c2, 'cls', s.cls, 'first_no', s.first_no, 'fold_no', s.fold_no,
         'vol_no', s.vol_no, 'aggr_no', s.aggr_no, 'pfr_no', s.pfr_no, 'allin', s.allin, 'fold_st', {at("fold_no")}.street, 'first_act', {at("first_no")}.action, 'first_l', {at("first_no")}.l,
         'limp_no', case when {at("first_no")}.calls and {at("first_no")}.nr = 0 then s.first_no end)"""
-    h = h.withColumn("seats", F.expr(f"transform(seats, s -> {more})"))
+    h = h.withColumn("seats", F.expr(f"transform(seats, (s, i) -> {more})"))
     streets = """transform(filter(sequence(0, 3), t -> exists(acts, a -> a.street = t)), t -> named_struct('t', t,
         'k', array_min(transform(filter(acts, a -> a.street = t), a -> a.k)), 'aggr', exists(acts, a -> a.street = t and a.aggr)))"""
     entered = "transform(filter(acts, a -> a.street = 0 and (a.aggr or a.calls)), a -> named_struct('k', a.k, 'p', a.player_idx, 'aggr', a.aggr))"
@@ -97,11 +97,10 @@ def population_rates(h: DataFrame) -> DataFrame:
 _ACT = {"k": "k", "street": "street", "act": "action", "amount": "amount", "tc": "to_call", "pot": "pot_before", "aggr": "aggr", "calls": "calls", "isfold": "isfold", "nr": "nr", "l": "l", "lall": "lall", "xagg": "xagg", "nvol": "nvol", "cao": "cao"}
 
 
-def meetings(h: DataFrame, rates: DataFrame, tops: Column | None = None, acts: dict[str, str] = {}, more: dict[str, str] = {}) -> DataFrame:
+def meetings(h: DataFrame, rates: DataFrame, steps: dict[str, str] = {}, more: dict[str, str] = {}) -> DataFrame:
     """One row per step of X and other seat Y of the hand, and one per X and Y without a step (s is true).
 
-    acts are further fields of the acts, more further expressions over the hand, x, y and a, of the hand rows; tops maps starting
-    hands to the share of hands as strong.
+    steps are further expressions over the hand, x, y and the act a; more are such of the rows without a step.
     """
     a_type = h.schema["acts"].dataType.elementType.simpleString()
     h = h.withColumn("acts", F.expr(f"concat(acts, transform(seats, s -> cast(null as {a_type})))")).withColumn("ns", F.expr("size(seats)"))
@@ -130,13 +129,10 @@ def meetings(h: DataFrame, rates: DataFrame, tops: Column | None = None, acts: d
         "mw_st": f"size(filter(streets, q -> q.t > 0 and {met} and {left} >= 3))", "mw_still": f"size(filter(streets, q -> q.t > 0 and {met} and {left} >= 3 and not q.aggr))",
         "tf": f"size(filter(acts, b -> {third}))", "tf_pre": f"size(filter(acts, b -> {third} and b.street = 0))", "tf_act": f"size(filter(acts, b -> {third} and coalesce(y.fold_no > b.k, true)))",
     }
-    out = rows.select(
-        "hand_idx", "table_idx", "hand_seq", "phase", "bb", "final_pot", "s", *(F.expr(f"a.{f}").alias(c) for c, f in {**_ACT, **acts}.items()), *(F.expr(e).alias(c) for c, e in state.items()),
+    return rows.select(
+        "hand_idx", "table_idx", "hand_seq", "phase", "bb", "final_pot", "s", *(F.expr(f"a.{f}").alias(c) for c, f in _ACT.items()), *(F.expr(e).alias(c) for c, e in (state | steps).items()),
         *(F.expr(f"case when s then {e} end").alias(c) for c, e in (whole | more).items()),
     )
-    if tops is not None:
-        out = out.withColumns({"xtp": F.element_at(tops, F.col("xcls")), "ytp": F.element_at(tops, F.col("ycls"))})
-    return out
 
 
 # Features of X towards Y. Each is an aggregate over the meetings of a hand, in SQL.

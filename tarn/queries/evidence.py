@@ -227,15 +227,6 @@ def board_equity(spark: SparkSession, d: str) -> DataFrame:
     return valued.select("hand_idx", "street", F.explode(F.arrays_zip(F.col("h.player_idx").alias("player_idx"), "share")).alias("x")).select("hand_idx", "street", F.col("x.player_idx").alias("player_idx"), F.col("x.share").alias("share"))
 
 
-@query()
-def luck_free_impact(spark: SparkSession, d: str) -> DataFrame:
-    """The change in a player's share of the pot from turn to river, in big blinds: what the cards did, apart from play."""
-    e = board_equity(spark, d)
-    turn, river = (e.filter(F.col("street") == k).select("hand_idx", "player_idx", F.col("share").alias(n)) for k, n in ((2, "turn"), (3, "river")))
-    pot = hands(spark, d).select("hand_idx", F.try_divide("final_pot", "bb").alias("pot_bb"))
-    return turn.join(river, ["hand_idx", "player_idx"]).join(pot, "hand_idx").select("hand_idx", "player_idx", ((F.col("river") - F.col("turn")) * F.col("pot_bb")).alias("impact"))
-
-
 @query()
 def self_trained(spark: SparkSession, d: str) -> DataFrame:
     """Pairs without a label that a first model takes for positive join a second one at a low weight; every pair is scored."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import events as E
 from tarn.operators import pairhand as P
+from tarn.operators import replay as R
 from tarn.plans.lineage import cut
 from tarn.queries.base import ACTIONS, HANDS, SEATS
 from tarn.sources.handlog import seconds
@@ -199,3 +200,60 @@ def event_excess(spark: SparkSession, d: str) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     carried = F.coalesce(F.try_divide(zero("k") * F.col("pairs"), F.col("negatives")), F.lit(0.0))
     return out.select("event", "flag", zero("seen").alias("seen"), zero("redrawn").alias("redrawn"), carried.alias("from_negatives"), zero("other_phase").alias("other_phase"), (zero("seen") - F.greatest(zero("redrawn"), carried)).alias("excess"))
+
+
+# With equities
+
+
+def replayed(spark: SparkSession, d: str) -> DataFrame:
+    """hand_log() with equities, written once."""
+    return cut(R.replay(hand_log(spark, d)))
+
+
+def met_open(spark: SparkSession, d: str) -> DataFrame:
+    h = replayed(spark, d)
+    return P.meetings(lined_up(h), P.population_rates(h), R.MORE_STEP, _SINCE | R.MORE_HAND)
+
+
+@query()
+def action_equity(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of every seat before and after every step, and the actor's strength: one row per step and seat."""
+    h = replayed(spark, d)
+    rows = h.select("hand_idx", "seats", F.explode("acts").alias("a")).select("hand_idx", "a", F.explode("seats").alias("s"))
+    return rows.select("hand_idx", F.expr("a.k").alias("action_no"), F.expr("s.p").alias("player_idx"), F.expr("get(a.eq, s.i)").alias("eq_pre"), F.expr("get(a.eqp, s.i)").alias("eq_post"), F.expr("case when a.player_idx = s.p then a.hs end").alias("strength"))
+
+
+@query()
+def heads_up_equity(spark: SparkSession, d: str) -> DataFrame:
+    """Share of a seat against one other alone, at the start of every street both came to."""
+    h = replayed(spark, d).select("hand_idx", "seats", F.expr("size(seats)").alias("ns"), F.posexplode("hu").alias("street", "m"))
+    rows = h.filter("m is not null").select("hand_idx", "street", "ns", "m", "seats", F.explode("seats").alias("x")).select("*", F.explode("seats").alias("y")).filter("x.p < y.p")
+    return rows.select("hand_idx", "street", F.expr("x.p").alias("a"), F.expr("y.p").alias("b"), F.expr("get(m, x.i * ns + y.i)").alias("share")).filter("share is not null")
+
+
+@query()
+def pair_hand_engine(spark: SparkSession, d: str) -> DataFrame:
+    """The pair-hand engine with equities: all features of pair_hand_features() and those of equity, strength, gifts and impact."""
+    return P.pairs(P.directed(met_open(spark, d), True), True)
+
+
+@query()
+def pair_signatures_open(spark: SparkSession, d: str) -> DataFrame:
+    """Rates, binomial z and asymmetries of all signature flags and sums, those of equity included."""
+    return P.pair_signatures(pair_hand_engine(spark, d), ["a", "b"], True)
+
+
+@query()
+def open_event_table(spark: SparkSession, d: str) -> DataFrame:
+    """event_table() of the events that need equities or the strength of starting hands."""
+    return E.event_counts(E.event_masks(met_open(spark, d), E.EQUITY_EVENTS), E.EQUITY_EVENTS)
+
+
+@query()
+def luck_free_impact(spark: SparkSession, d: str) -> DataFrame:
+    """What each player's steps moved to each other seat's share of the pot, in big blinds; cards dealt count for nothing. A
+    player's own share loses what others gain, so the impacts of a step add up to 0 over the seats."""
+    h = replayed(spark, d).select("hand_idx", "bb", "seats", F.explode("acts").alias("a")).select("*", F.explode("seats").alias("s"))
+    moved = "((coalesce(get(a.eqp, s.i), 0) - coalesce(get(a.eq, s.i), 0)) * a.pot_before + coalesce(get(a.eqp, s.i), 0) * a.amount - case when a.player_idx = s.p then a.amount else 0 end) / bb"
+    rows = h.filter("exists(a.eq, e -> e is not null) and a.amount is not null and a.pot_before is not null").select("hand_idx", F.expr("a.player_idx").alias("actor"), F.expr("s.p").alias("player_idx"), F.expr(moved).alias("v"))
+    return rows.groupBy("hand_idx", "actor", "player_idx").agg(F.sum("v").alias("impact"))
