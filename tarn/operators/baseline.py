@@ -84,14 +84,14 @@ def softmax_gap(df: DataFrame, partition: str, score: str, tie: str) -> DataFram
 
 def row_column_expectation(df: DataFrame, scope: str, hit: str, n: str) -> DataFrame:
     """df has (scope, x, y). Expected hits if x's and y's tendencies were independent in the scope, each shrunk to the scope's
-    rate with SHRINK pseudo-opportunities and without the pair itself; and the signed Poisson deviance of the hits."""
+    rate with SHRINK pseudo-opportunities and without the pair itself, no rate being above 1; and the signed Poisson deviance of the hits."""
     h, m = F.col(hit), F.col(n)
     whole = rate(F.sum(h).over(over(scope)), F.sum(m).over(over(scope)))
     df = df.withColumn("__p", whole)
     for side in ("x", "y"):
         w = over(scope, side)
         df = df.withColumn(f"__{side}", (F.sum(h).over(w) - h + F.lit(SHRINK) * F.col("__p")) / (F.sum(m).over(w) - m + F.lit(SHRINK)))
-    df = df.withColumn("expected", F.coalesce(F.try_divide(m * F.col("__x") * F.col("__y"), F.col("__p")), F.lit(0.0)))
+    df = df.withColumn("expected", F.coalesce(m * F.least(F.try_divide(F.col("__x") * F.col("__y"), F.col("__p")), F.lit(1.0)), F.lit(0.0)))
     return df.withColumn("g", signed_poisson(h, F.col("expected"))).drop("__p", "__x", "__y")
 
 

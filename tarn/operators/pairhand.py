@@ -102,37 +102,40 @@ def meetings(h: DataFrame, rates: DataFrame, steps: dict[str, str] = {}, more: d
 
     steps are further expressions over the hand, x, y and the act a; more are such of the rows without a step.
     """
-    a_type = h.schema["acts"].dataType.elementType.simpleString()
-    h = h.withColumn("acts", F.expr(f"concat(acts, transform(seats, s -> cast(null as {a_type})))")).withColumn("ns", F.expr("size(seats)"))
-    rows = h.select("*", F.posexplode("acts").alias("i", "a")).withColumn("s", F.col("a").isNull())
-    rows = rows.withColumn("x", F.expr("case when s then get(seats, i - (size(acts) - ns)) else get(filter(seats, q -> q.p = a.player_idx), 0) end")).filter("x is not null")
+    lite = {"p": "p", "i": "i", "pos": "pos", "cls": "cls", "fold_no": "fold_no", "first_no": "first_no", "vol_no": "vol_no", "limp_no": "limp_no", "pfr_no": "pfr_no"}
+    small = "transform(seats, q -> named_struct(" + ", ".join(f"'{c}', q.{f}" for c, f in lite.items()) + "))"
+    base = ["hand_idx", "table_idx", "hand_seq", "phase", "bb", "final_pot"]
+    rows = h.withColumns({"ns": F.expr("size(seats)"), "seats": F.expr(small), "opened": F.expr("named_struct('p', opened.player_idx, 'nvol', opened.nvol)")})
+    rows = rows.withColumn("a", F.explode("acts")).withColumn("x", F.expr("get(filter(seats, q -> q.p = a.player_idx), 0)")).filter("x is not null")
     cell = ["cls", "nr", "pos", "nc"]
     keys = {"cls": "x.cls", "nr": "least(a.nr, 3)", "pos": "x.pos", "nc": "least(a.nc, 2)"}
     rows = rows.withColumns({f"__{c}": F.expr(f"case when a.street = 0 then {e} end") for c, e in keys.items()})
     rows = rows.join(F.broadcast(rates.select(*(F.col(c).alias(f"__{c}") for c in cell), "p_aggr", "p_fold", "p_call")), [f"__{c}" for c in cell], "left")  # at most 12,168 rows
-    rows = rows.select("*", F.explode("seats").alias("y")).filter("y.p <> x.p")
+    rows = rows.withColumn("y", F.explode("seats")).filter("y.p <> x.p")
     state = {
-        "x": "x.p", "y": "y.p", "xpos": "x.pos", "ypos": "y.pos", "xcls": "x.cls", "ycls": "y.cls", "pa": "p_aggr", "pf": "p_fold", "pc": "p_call", "nact": "ns - a.nf",
+        "x": "x.p", "y": "y.p", "s": "false", "xpos": "x.pos", "ypos": "y.pos", "pa": "p_aggr", "pf": "p_fold", "pc": "p_call", "nact": "ns - a.nf",
         "first": "coalesce(a.k = x.first_no, false)", "ya": "coalesce(y.fold_no > a.k, true)", "yd": "coalesce(y.first_no < a.k, false)", "yv": "coalesce(y.vol_no < a.k, false)",
-        "yl": "coalesce(y.limp_no < a.k, false)", "pfirst": "coalesce(a.k = x.pfr_no, false)", "opener": "opened.player_idx", "unopened": "coalesce(opened.nvol = 0, false)",
+        "yl": "coalesce(y.limp_no < a.k, false)", "pfirst": "coalesce(a.k = x.pfr_no, false)", "opener": "opened.p", "unopened": "coalesce(opened.nvol = 0, false)",
     }
     inside = lambda who: f"coalesce({who}.fold_no >= q.k, true)"
     met = f"{inside('x')} and {inside('y')}"
-    left = "(ns - size(filter(seats, w -> coalesce(w.fold_no < q.k, false))))"
+    left = "(size(seats) - size(filter(seats, w -> coalesce(w.fold_no < q.k, false))))"
     third = "b.isfold and b.l = x.p and b.player_idx <> x.p and b.player_idx <> y.p"
     whole = {
-        "xnet": "coalesce(x.net, 0)", "ynet": "coalesce(y.net, 0)", "xsd": "x.sd", "ysd": "y.sd", "xcon": "coalesce(x.con, 0)", "xvol": "x.vol_no is not null", "yvol": "y.vol_no is not null", "xpfr": "x.pfr_no is not null",
+        "x": "x.p", "y": "y.p", "s": "true", "xnet": "coalesce(x.net, 0)", "ynet": "coalesce(y.net, 0)", "xsd": "x.sd", "ysd": "y.sd", "xcon": "coalesce(x.con, 0)", "xvol": "x.vol_no is not null", "yvol": "y.vol_no is not null", "xpfr": "x.pfr_no is not null",
         "xallin": "x.allin", "xfold_st": "coalesce(x.fold_st, 9)", "yfold_st": "coalesce(y.fold_st, 9)", "xfirst_act": "x.first_act", "xfirst_l": "x.first_l", "xpfr_no": "x.pfr_no", "xfold_no": "x.fold_no", "yaggr_no": "y.aggr_no", "yfirst_no": "y.first_no",
-        "xseat": "x.seat_no", "yseat": "y.seat_no", "nb": "coalesce(size(filter(board, c -> c is not null)), 0)", "nvols": "size(filter(seats, w -> w.vol_no is not null))", "npre": "size(filter(acts, b -> b.street = 0))", "nleft": "ns - size(filter(seats, w -> w.fold_no is not null))",
+        "xpos": "x.pos", "ypos": "y.pos", "xseat": "x.seat_no", "yseat": "y.seat_no", "nb": "coalesce(size(filter(board, c -> c is not null)), 0)", "nvols": "nvols", "npre": "npre", "nleft": "nleft",
         "big3": "exists(seats, w -> w.p <> x.p and w.p <> y.p and coalesce(w.con, 0) >= 3 * bb)", "sandwich": "array_contains(sand, struct(least(x.p, y.p) as a, greatest(x.p, y.p) as b))",
-        "both_st": f"size(filter(streets, q -> {met}))", "hu_st": f"size(filter(streets, q -> q.t > 0 and {met} and {left} = 2))", "hu_still": f"size(filter(streets, q -> q.t > 0 and {met} and {left} = 2 and not q.aggr))",
-        "mw_st": f"size(filter(streets, q -> q.t > 0 and {met} and {left} >= 3))", "mw_still": f"size(filter(streets, q -> q.t > 0 and {met} and {left} >= 3 and not q.aggr))",
-        "tf": f"size(filter(acts, b -> {third}))", "tf_pre": f"size(filter(acts, b -> {third} and b.street = 0))", "tf_act": f"size(filter(acts, b -> {third} and coalesce(y.fold_no > b.k, true)))",
-    }
-    return rows.select(
-        "hand_idx", "table_idx", "hand_seq", "phase", "bb", "final_pot", "s", *(F.expr(f"a.{f}").alias(c) for c, f in _ACT.items()), *(F.expr(e).alias(c) for c, e in (state | steps).items()),
-        *(F.expr(f"case when s then {e} end").alias(c) for c, e in (whole | more).items()),
-    )
+        "both_st": f"size(filter(streets, q -> {met}))", "hu_st": f"size(filter(streets, q -> q.t > 0 and q.n = 2 and {met}))", "hu_still": f"size(filter(streets, q -> q.t > 0 and q.n = 2 and not q.aggr and {met}))",
+        "mw_st": f"size(filter(streets, q -> q.t > 0 and q.n >= 3 and {met}))", "mw_still": f"size(filter(streets, q -> q.t > 0 and q.n >= 3 and not q.aggr and {met}))",
+        "tf": f"size(filter(folds, b -> {third}))", "tf_pre": f"size(filter(folds, b -> {third} and b.street = 0))", "tf_act": f"size(filter(folds, b -> {third} and coalesce(y.fold_no > b.k, true)))",
+    } | more
+    counts = {"nvols": "size(filter(seats, w -> w.vol_no is not null))", "npre": "size(filter(acts, b -> b.street = 0))", "nleft": "size(filter(seats, w -> w.fold_no is null))", "folds": "filter(acts, b -> b.isfold and b.l is not null)"}
+    hands = h.withColumns({**{c: F.expr(e) for c, e in counts.items()}, "streets": F.expr(f"transform(streets, q -> named_struct('t', q.t, 'k', q.k, 'aggr', q.aggr, 'n', {left}))")})
+    both = "flatten(transform(seats, x -> transform(filter(seats, y -> y.p <> x.p), y -> named_struct(" + ", ".join(f"'{c}', {e}" for c, e in whole.items()) + "))))"
+    alone = hands.select(*base, F.explode(F.expr(both)).alias("z")).select(*base, "z.*")
+    met_rows = rows.select(*base, *(F.expr(f"a.{f}").alias(c) for c, f in _ACT.items()), *(F.expr(e).alias(c) for c, e in (state | steps).items()))
+    return met_rows.unionByName(alone, allowMissingColumns=True)
 
 
 # Features of X towards Y. Each is an aggregate over the meetings of a hand, in SQL.

@@ -56,8 +56,8 @@ def uncovered(left: DataFrame, right: DataFrame, keys: list[str]) -> Column | Da
     return left.select(*keys).distinct().join(right.select(*keys).distinct(), keys, "left_anti")
 
 
-def window_rows(rows: DataFrame, clock: str, windows: dict[str, tuple[int, int]]) -> DataFrame:
-    """Each row once for every named window (low <= clock < high) that holds it; windows may overlap."""
-    named = F.array(*(F.struct(F.lit(w).alias("name"), F.lit(low).alias("low"), F.lit(high).alias("high")) for w, (low, high) in windows.items()))
-    inside = F.filter(named, lambda w: (F.col(clock) >= w["low"]) & (F.col(clock) < w["high"]))
+def window_rows(rows: DataFrame, clock: str, windows: dict[str, tuple[int, int | None]]) -> DataFrame:
+    """Each row once for every named window (low <= clock < high, None being open) that holds it; windows may overlap."""
+    named = F.array(*(F.struct(F.lit(w).alias("name"), F.lit(low).alias("low"), F.lit(high).cast("bigint").alias("high")) for w, (low, high) in windows.items()))
+    inside = F.filter(named, lambda w: (F.col(clock) >= w["low"]) & (w["high"].isNull() | (F.col(clock) < w["high"])))
     return rows.withColumn("window", F.explode(F.transform(inside, lambda w: w["name"])))

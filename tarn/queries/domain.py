@@ -227,21 +227,10 @@ def own_baseline(spark: SparkSession, d: str) -> DataFrame:
     return p.select("a", "b", R6("exc_sum").alias("exc_sum"), R6("llift_min").alias("llift_min"), R6("llift_max").alias("llift_max"), "mutual_top", "top_any", "rank_worst")
 
 
-@query(_OWN + """, z AS (SELECT x, y, (hit - expected) / sqrt(expected * (1 - expected / n) + 1e-9) AS z FROM o WHERE n >= 5), m AS (SELECT *, max(z) OVER (PARTITION BY x) AS top, row_number() OVER (PARTITION BY x ORDER BY z DESC, y) AS rz FROM z),
-sg AS (SELECT *, max(CASE WHEN rz = 2 THEN z END) OVER (PARTITION BY x) AS second FROM m) SELECT x, y, round(exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY x), 5) AS share, round(z - CASE WHEN rz = 1 THEN second ELSE top END, 4) AS gap FROM sg WHERE top < 1000""")
-def softmax_gap(spark: SparkSession, d: str) -> DataFrame:
-    """The z of a partner against his rivals for the same player."""
-    t = directed(spark, d).groupBy("x", "y").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
-    o = B.own_baseline(t, "hit", "n").filter("n >= 5")
-    z = o.withColumn("z", (F.col("hit") - F.col("expected")) / F.sqrt(F.col("expected") * (1 - F.col("expected") / F.col("n")) + F.lit(B.Z_FLOOR)))
-    z = z.withColumn("top", F.max("z").over(Window.partitionBy("x"))).filter("top < 1000")
-    return B.softmax_gap(z, "x", "z", "y").select("x", "y", F.round("share", 5).alias("share"), F.round("gap", 4).alias("gap"))
-
-
 @query(_DIRECTED + """, t AS (SELECT x, y, CAST(sum(hit) AS BIGINT) AS hit, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY 1, 2), e AS (SELECT *, least(greatest((sum(hit) OVER w - hit)::DOUBLE / greatest(sum(n) OVER w - n, 1), 1e-6), 1 - 1e-6) AS p FROM t WINDOW w AS (PARTITION BY x)),
 z AS (SELECT x, y, (hit - n * p) / sqrt(n * p * (1 - p)) AS z FROM e), m AS (SELECT *, max(z) OVER (PARTITION BY x) AS top, row_number() OVER (PARTITION BY x ORDER BY z DESC, y) AS rz FROM z), sg AS (SELECT *, max(CASE WHEN rz = 2 THEN z END) OVER (PARTITION BY x) AS second FROM m)
 SELECT x, y, round(exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY x), 5) AS share, round(z - CASE WHEN rz = 1 THEN second ELSE top END, 4) AS gap FROM sg""")
-def softmax_gap_every(spark: SparkSession, d: str) -> DataFrame:
+def softmax_gap(spark: SparkSession, d: str) -> DataFrame:
     """The z of a partner against his rivals for the same player: every player and every co-player."""
     z = B.leave_one_out_z(directed(spark, d, tables=False), "hit", "n")
     return B.softmax_gap(z, "x", "z", "y").select("x", "y", F.round("share", 5).alias("share"), F.round("gap", 4).alias("gap"))
@@ -249,7 +238,7 @@ def softmax_gap_every(spark: SparkSession, d: str) -> DataFrame:
 
 _ROWCOL = _DIRECTED + """, e AS (SELECT *, sum(hit) OVER (PARTITION BY table_idx)::DOUBLE / sum(n) OVER (PARTITION BY table_idx) AS p FROM d),
 f AS (SELECT *, (sum(hit) OVER (PARTITION BY table_idx, x) - hit + 20 * p) / (sum(n) OVER (PARTITION BY table_idx, x) - n + 20) AS px, (sum(hit) OVER (PARTITION BY table_idx, y) - hit + 20 * p) / (sum(n) OVER (PARTITION BY table_idx, y) - n + 20) AS py FROM e),
-g AS (SELECT table_idx, x, y, hit, n, CASE WHEN p > 0 THEN n * px * py / p ELSE 0 END AS expected FROM f),
+g AS (SELECT table_idx, x, y, hit, n, CASE WHEN p > 0 THEN n * least(px * py / p, 1) ELSE 0 END AS expected FROM f),
 gg AS (SELECT *, CASE WHEN expected <= 0 THEN 0 ELSE sign(hit - expected) * 2 * (CASE WHEN hit > 0 THEN hit * ln(hit / expected) ELSE 0 END - (hit - expected)) END AS g FROM g)"""
 
 
@@ -291,20 +280,9 @@ def within_table_z(spark: SparkSession, d: str) -> DataFrame:
     return r.select("table_idx", "a", "b", F.round(B.group_z(F.col("r"), "table_idx"), 5).alias("z"))
 
 
-_CENTRE = f"WITH {PAIRS}, r AS (SELECT a, b, sum(flow)::DOUBLE / sum(n) AS r FROM ps GROUP BY 1, 2 HAVING sum(n) >= 5), l AS (SELECT a AS m, a, b, r FROM r UNION ALL SELECT b, a, b, r FROM r), o AS (SELECT m, a, b, r, (sum(r) OVER w - r) / nullif(count(*) OVER w - 1, 0) AS other FROM l WINDOW w AS (PARTITION BY m))"
-
-
-@query(_CENTRE + " SELECT a, b, round(max(r) - avg(other), 6) AS centred FROM o GROUP BY 1, 2")
+@query(f"WITH {PAIRS}, r AS (SELECT a, b, sum(flow)::DOUBLE / sum(n) AS r FROM ps GROUP BY 1, 2), l AS (SELECT a AS m, a, b, r FROM r UNION ALL SELECT b, a, b, r FROM r), o AS (SELECT m, a, b, r, (sum(r) OVER w - r) / nullif(count(*) OVER w - 1, 0) AS other FROM l WINDOW w AS (PARTITION BY m)) SELECT a, b, round(max(r) - avg(other), 6) AS centred FROM o GROUP BY 1, 2")
 def double_centred(spark: SparkSession, d: str) -> DataFrame:
     """A pair's rate less the mean of its members' other pairs."""
-    r = pair_stats(spark, d).groupBy("a", "b").agg(F.sum("flow").alias("f"), F.sum("n").alias("n")).filter("n >= 5").withColumn("r", F.col("f") / F.col("n"))
-    long = r.withColumn("m", F.explode(F.array("a", "b"))).withColumn("other", B.other_mean(F.col("r"), "m"))
-    return long.groupBy("a", "b").agg(R6(F.max("r") - F.avg("other")).alias("centred"))
-
-
-@query(f"WITH {PAIRS}, r AS (SELECT a, b, sum(flow)::DOUBLE / sum(n) AS r FROM ps GROUP BY 1, 2), l AS (SELECT a AS m, a, b, r FROM r UNION ALL SELECT b, a, b, r FROM r), o AS (SELECT m, a, b, r, (sum(r) OVER w - r) / nullif(count(*) OVER w - 1, 0) AS other FROM l WINDOW w AS (PARTITION BY m)) SELECT a, b, round(max(r) - avg(other), 6) AS centred FROM o GROUP BY 1, 2")
-def double_centred_every(spark: SparkSession, d: str) -> DataFrame:
-    """double_centred() for every pair, however few its hands."""
     r = pair_stats(spark, d).groupBy("a", "b").agg((F.sum("flow") / F.sum("n")).alias("r"))
     long = r.withColumn("m", F.explode(F.array("a", "b"))).withColumn("other", B.other_mean(F.col("r"), "m"))
     return long.groupBy("a", "b").agg(R6(F.max("r") - F.avg("other")).alias("centred"))

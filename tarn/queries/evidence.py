@@ -273,7 +273,7 @@ def equal_bins(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", quarter.cast("int").alias("quarter"))
 
 
-@query()
+@query("SELECT key, " + ", ".join(f"max(v) FILTER (s = '{x}') AS {x}" for x in ("F", "O", "P")) + " FROM (SELECT o_orderstatus AS s, 'n' AS key, count(*)::DOUBLE AS v FROM orders GROUP BY 1 UNION ALL SELECT o_orderstatus, 'mean', round(avg(o_totalprice), 2) FROM orders GROUP BY 1) GROUP BY 1")
 def transposed(spark: SparkSession, d: str) -> DataFrame:
     """A small report turned on its side."""
     return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean")).transpose("o_orderstatus")

@@ -13,7 +13,7 @@ from tarn.operators import pairhand as P
 from tarn.operators import replay as R
 from tarn.plans.lineage import cut
 from tarn.queries.base import ACTIONS, HANDS, SEATS
-from tarn.sources.handlog import seconds
+from tarn.sources.handlog import is_step, seconds
 from tarn.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -37,10 +37,8 @@ def whole_hands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hand_log(spark: SparkSession, d: str) -> DataFrame:
-    """hand_rows() of the whole log, written once."""
-    from tarn.sources.handlog import is_step
-
-    return cut(P.hand_rows(whole_hands(spark, d), table(spark, d, "seats"), table(spark, d, "actions").filter(is_step())))
+    """hand_rows() of the whole log."""
+    return P.hand_rows(whole_hands(spark, d), table(spark, d, "seats"), table(spark, d, "actions").filter(is_step()))
 
 
 def met(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +36,13 @@ def scan_pruned(spark: SparkSession, d: str) -> DataFrame:
     return io.read_columns(spark, f"{d}/lineitem.parquet", ["l_orderkey", "l_quantity"]).filter("l_quantity >= 45")
 
 
-@query("SELECT c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (0, 1, 2) UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 3)")
 def scan_many(spark: SparkSession, d: str) -> DataFrame:
-    named = lambda t, k, n: io.read_columns(spark, f"{d}/{t}.parquet", [k, n]).toDF("key", "name")
-    return named("customer", "c_custkey", "c_name").unionByName(named("supplier", "s_suppkey", "s_name"))
+    """A folder, a glob and a list of folders."""
+    path = io.write_parquet(table(spark, d, "nation"), io.scratch(spark, "nations"), partition_by=["n_regionkey"])
+    read = lambda paths: io.read_columns(spark, paths, ["n_nationkey", "n_name"])
+    listed = [f"{path}/n_regionkey={k}" for k in (1, 3)]
+    return read(path).unionByName(read(f"{path}/n_regionkey=[0-2]")).unionByName(read(listed))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -65,6 +70,21 @@ def sql_over_view(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT o_orderstatus, count(*) AS n FROM {orders} GROUP BY ALL", orders=table(spark, d, "orders"))
 
 
+@query("SELECT n_regionkey, count(*) AS n, (SELECT count(*) FROM nation) AS whole FROM nation GROUP BY 1")
+def cached_view(spark: SparkSession, d: str) -> DataFrame:
+    """A named view, kept in memory while two queries read it."""
+    name = f"nations_{uuid.uuid4().hex}"
+    table(spark, d, "nation").createOrReplaceTempView(name)
+    spark.catalog.cacheTable(name)
+    try:
+        counts = spark.sql(f"SELECT n_regionkey, count(*) AS n FROM {name} GROUP BY 1").collect()  # five regions
+        whole = spark.sql(f"SELECT count(*) AS n FROM {name}").first()["n"]
+    finally:
+        spark.catalog.uncacheTable(name)
+        spark.catalog.dropTempView(name)
+    return spark.createDataFrame([(r["n_regionkey"], r["n"], whole) for r in counts], "n_regionkey int, n bigint, whole bigint")
+
+
 @query("SELECT o_orderstatus, o_orderkey, o_custkey FROM orders")
 def partitioned_overwrite(spark: SparkSession, d: str) -> DataFrame:
     """Parts written twice replace themselves."""
@@ -211,6 +231,13 @@ def left_join_default(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS BIGINT) AS place, o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def ordered_left_join(spark: SparkSession, d: str) -> DataFrame:
+    """A left join that keeps the left side's order, as a carried place."""
+    left = ordered.row_index(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], "place")
+    return left.join(table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", "left").select("place", "o_orderkey", "c_name")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def semi_join(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
@@ -394,10 +421,10 @@ def unpivot_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Overlapping windows over a table's clock.
-WINDOWS = {"all": (0, 3000), "early": (0, 80), "late": (40, 3000)}
+WINDOWS = {"all": (0, None), "early": (0, 80), "late": (40, None)}
 
 
-@query(f"WITH {HANDS}, w AS (SELECT * FROM (VALUES ('all', 0, 3000), ('early', 0, 80), ('late', 40, 3000)) v(\"window\", low, high)) SELECT table_idx, \"window\", count(*) AS n, CAST(sum(final_pot) AS BIGINT) AS pot FROM h JOIN w ON hand_seq >= low AND hand_seq < high WHERE table_idx IS NOT NULL GROUP BY 1, 2")
+@query(f"WITH {HANDS}, w AS (SELECT * FROM (VALUES ('all', 0, NULL), ('early', 0, 80), ('late', 40, NULL)) v(\"window\", low, high)) SELECT table_idx, \"window\", count(*) AS n, CAST(sum(final_pot) AS BIGINT) AS pot FROM h JOIN w ON hand_seq >= low AND (high IS NULL OR hand_seq < high) WHERE table_idx IS NOT NULL GROUP BY 1, 2")
 def overlapping_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = pairing.window_rows(hands(spark, d).filter("table_idx is not null"), "hand_seq", WINDOWS)
     return rows.groupBy("table_idx", "window").agg(F.count(F.lit(1)).alias("n"), F.sum("final_pot").alias("pot"))
@@ -408,9 +435,12 @@ def rollup_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts, true AS orders_near, true AS parts_near FROM lineitem")
 def approximate_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("orders"))
+    """Exact numbers, and whether estimates with a relative deviation of 2 % lie within three of these."""
+    exact = {"orders": "l_orderkey", "parts": "l_partkey"}
+    both = table(spark, d, "lineitem").agg(*(F.approx_count_distinct(c, 0.02).alias(f"{n}_near") for n, c in exact.items()), *(F.count_distinct(c).alias(n) for n, c in exact.items()))
+    return both.select(*exact, *((F.abs(F.col(f"{n}_near") - F.col(n)) <= 0.06 * F.col(n)).alias(f"{n}_near") for n in exact))
 
 
 @query("WITH r AS (SELECT rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS x, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2 AS y FROM customer) SELECT round(corr(x, y), 6) AS spearman FROM r")
@@ -460,11 +490,13 @@ def as_of_last_purchase(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT *, epoch_us(ts) / 1000000 AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 3600 THEN 1 ELSE 0 END AS new FROM e),
-s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g) SELECT user_id, session, count(*) AS n, round(sum(value), 4) AS value FROM s GROUP BY 1, 2""")
+s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g) SELECT user_id, session, count(*) AS n, round(sum(value), 4) AS value, CAST(coalesce(sum(count(*)) OVER (PARTITION BY user_id ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_before, lag(count(*)) OVER (PARTITION BY user_id ORDER BY session) AS n_last FROM s GROUP BY 1, 2""")
 def sessionize(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
     s = ordered.sessions(e, ["user_id"], "t", ["t", "event_id"], 3600)
-    return s.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    per = s.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    before = ordered.prefix_sum(F.col("n"), ["user_id"], ["session"])
+    return per.withColumns({"n_before": before, "n_last": F.lag("n").over(Window.partitionBy("user_id").orderBy("session"))})
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN l_quantity < lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) THEN 1 ELSE 0 END AS d FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2))
@@ -504,6 +536,14 @@ def unit_rank(spark: SparkSession, d: str) -> DataFrame:
     return ranking.unit_rank(table(spark, d, "customer"), [F.col("c_acctbal").desc(), F.col("c_custkey")], "risk").select("c_custkey", F.round("risk", 9).alias("risk"))
 
 
+@query("SELECT count(*) AS rows, CAST(count(*) - count(DISTINCT (c_mktsegment, c_nationkey)) AS BIGINT) AS tied_by_two, CAST(count(*) - count(DISTINCT (c_mktsegment, c_nationkey, c_acctbal)) AS BIGINT) AS tied_by_three FROM customer")
+def unresolved_ties(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that a ranking by two keys, and by three, leaves without a place of their own."""
+    keys = ["c_mktsegment", "c_nationkey", "c_acctbal"]
+    c = table(spark, d, "customer")
+    return c.agg(F.count(F.lit(1)).alias("rows"), *((F.count(F.lit(1)) - F.count_distinct(F.struct(*keys[:n]))).alias(f"tied_by_{w}") for n, w in ((2, "two"), (3, "three"))))
+
+
 @query("SELECT p_partkey, CASE WHEN a = greatest(a, b, c) THEN 'a' WHEN b = greatest(a, b, c) THEN 'b' ELSE 'c' END AS label FROM (SELECT p_partkey, p_partkey % 7 AS a, p_partkey % 5 AS b, p_partkey % 3 AS c FROM part)")
 def argmax_label(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", *((F.col("p_partkey") % m).alias(c) for c, m in (("a", 7), ("b", 5), ("c", 3))))
@@ -535,10 +575,17 @@ def widened_union(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("p_size").alias("v")).union(p.select("p_retailprice"))
 
 
-@query("(SELECT player_idx FROM seats WHERE player_idx IS NOT NULL UNION SELECT player_idx FROM players) EXCEPT SELECT player_idx FROM actions")
+@query("SELECT hand_idx FROM hands WHERE hand_idx IS NOT NULL UNION SELECT hand_idx FROM seats WHERE hand_idx IS NOT NULL")
+def set_union(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda t: table(spark, d, t).select("hand_idx").filter("hand_idx is not null")
+    return of("hands").union(of("seats")).distinct()
+
+
+@query("(SELECT hand_idx FROM hands WHERE hand_idx IS NOT NULL UNION SELECT hand_idx FROM seats WHERE hand_idx IS NOT NULL) EXCEPT SELECT hand_idx FROM evidence")
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
-    of = lambda t: table(spark, d, t).select("player_idx").filter("player_idx is not null")
-    return of("seats").union(of("players")).distinct().subtract(of("actions"))
+    """Hands that no evidence names."""
+    of = lambda t: table(spark, d, t).select("hand_idx").filter("hand_idx is not null")
+    return of("hands").union(of("seats")).distinct().subtract(of("evidence"))
 
 
 @query("SELECT DISTINCT player_idx FROM seats WHERE player_idx IS NOT NULL INTERSECT SELECT player_idx FROM actions")

@@ -38,15 +38,15 @@ def test_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
 
-@pytest.mark.parametrize("name", ["softmax_gap_every", "binomial_surprise"])
+@pytest.mark.parametrize("name", ["softmax_gap", "binomial_surprise"])
 def test_every_directed_pair_has_a_row(spark, data, name):
     from tarn.queries.domain import directed
 
-    key = ["x", "y"] if name == "softmax_gap_every" else ["table_idx", "x", "y"]
+    key = ["x", "y"] if name == "softmax_gap" else ["table_idx", "x", "y"]
     assert rows(QUERIES[name](spark, data), *key) == rows(directed(spark, data).select(*key).distinct())
 
 
-@pytest.mark.parametrize("name", ["double_centred_every", "self_trained"])
+@pytest.mark.parametrize("name", ["double_centred", "self_trained"])
 def test_every_pair_has_a_row(spark, data, name):
     from tarn.queries.base import pair_stats
 
