@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.plans.lineage import cut
+
 
 def _blocked(large: DataFrame, block: int) -> DataFrame:
     """(scope, w, item_a, item_b) of large baskets: an item meets the others block by block, so a task holds two blocks."""
@@ -28,7 +30,7 @@ def item_pairs(baskets: DataFrame, scope: str, items: str, min_pairs: int = 1, b
     `block` items, a basket's pairs are made where it lies; a larger one is cut into blocks, whose pairs are spread over tasks.
     """
     distinct = F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull())))
-    weighted = (
+    weighted = cut(
         baskets.select(F.col(scope).alias("scope"), distinct.alias("items"))
         .filter(F.col("scope").isNotNull() & (F.size("items") > 0))
         .groupBy("scope", "items")
