@@ -8,6 +8,8 @@ of expressions over the columns that meetings() names; a row without a step (s i
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,13 +51,28 @@ def staged(steps: DataFrame) -> DataFrame:
     return a.withColumns({"nvol": count("v1", before()), "cao": count("(calls and street = 0 and nr > 0)", before())})
 
 
+def staged_arrays(steps: DataFrame) -> DataFrame:
+    """(hand_idx, acts): staged() steps as one array a hand, in order. A hand has few steps, so looking back inside the array costs
+    less than a sort for every window."""
+    raw = steps.withColumns({"aggr": F.expr(AGGR), "calls": F.expr(CALL), "isfold": F.expr("action = 0")})
+    fields = ["player_idx", "street", "action", "amount", "to_call", "pot_before", "aggr", "calls", "isfold"]
+    hands = raw.groupBy("hand_idx").agg(F.array_sort(F.collect_list(F.struct(F.col("action_no").alias("k"), *fields))).alias("a0"))
+    own = ", ".join(f"'{f}', m.a.{f}" for f in ["k", *fields])
+    looked = """transform(a0, a -> named_struct('a', a, 'p', filter(a0, b -> b.k < a.k and b.street = a.street and b.aggr), 'q', filter(a0, b -> b.k < a.k and (b.isfold or b.street = 0))))"""
+    first = f"""transform({looked}, m -> named_struct({own}, 'nr', size(m.p), 'l', get(m.p, size(m.p) - 1).player_idx, 'lall', coalesce(get(m.p, size(m.p) - 1).action = 5, false),
+        'xagg', exists(m.p, b -> b.player_idx = m.a.player_idx), 'nc', size(filter(m.q, b -> b.calls and b.street = 0)), 'nf', size(filter(m.q, b -> b.isfold)),
+        'v1', m.a.street = 0 and (m.a.aggr or m.a.calls) and not exists(m.q, b -> b.player_idx = m.a.player_idx and b.street = 0 and (b.aggr or b.calls))))"""
+    names = ", ".join(f"'{f}', a.{f}" for f in ["k", *fields, "nr", "l", "lall", "xagg", "nc", "nf"])
+    second = f"transform(a1, a -> named_struct({names}, 'nvol', size(filter(a1, b -> b.k < a.k and b.v1)), 'cao', size(filter(a1, b -> b.k < a.k and b.calls and b.street = 0 and b.nr > 0))))"
+    return hands.withColumn("a1", F.expr(first)).select("hand_idx", F.expr(second).alias("acts"))
+
+
 def hand_rows(hands: DataFrame, seats: DataFrame, steps: DataFrame) -> DataFrame:
     """One row per hand that has seats: its fields, `seats` and `acts` in order, the `streets` played, and `sand`.
 
     Steps of players without a seat in the hand stay in acts but meet nobody.
     """
-    fields = ["player_idx", "street", "action", "amount", "to_call", "pot_before", "aggr", "calls", "isfold", "nr", "l", "lall", "xagg", "nc", "nf", "nvol", "cao"]
-    acts = staged(by_hand(steps, ["action_no"], STEP)).groupBy("hand_idx").agg(F.array_sort(F.collect_list(F.struct(F.col("action_no").alias("k"), *fields))).alias("acts"))
+    acts = staged_arrays(by_hand(steps, ["action_no"], STEP))
     own = by_hand(seats, ["player_idx"], SEAT).withColumn("cls", class_169(F.col("c1"), F.col("c2")))
     own = own.groupBy("hand_idx").agg(F.array_sort(F.collect_list(F.struct("player_idx", *SEAT, "cls"))).alias("seats"))
     h = hands.join(own, "hand_idx").join(acts, "hand_idx", "left").withColumn("acts", F.expr("coalesce(acts, array())"))
@@ -102,20 +119,11 @@ def meetings(h: DataFrame, rates: DataFrame, steps: dict[str, str] = {}, more: d
 
     steps are further expressions over the hand, x, y and the act a; more are such of the rows without a step.
     """
-    lite = {"p": "p", "i": "i", "pos": "pos", "cls": "cls", "fold_no": "fold_no", "first_no": "first_no", "vol_no": "vol_no", "limp_no": "limp_no", "pfr_no": "pfr_no"}
-    small = "transform(seats, q -> named_struct(" + ", ".join(f"'{c}', q.{f}" for c, f in lite.items()) + "))"
     base = ["hand_idx", "table_idx", "hand_seq", "phase", "bb", "final_pot"]
-    rows = h.withColumns({"ns": F.expr("size(seats)"), "seats": F.expr(small), "opened": F.expr("named_struct('p', opened.player_idx, 'nvol', opened.nvol)")})
-    rows = rows.withColumn("a", F.explode("acts")).withColumn("x", F.expr("get(filter(seats, q -> q.p = a.player_idx), 0)")).filter("x is not null")
-    cell = ["cls", "nr", "pos", "nc"]
-    keys = {"cls": "x.cls", "nr": "least(a.nr, 3)", "pos": "x.pos", "nc": "least(a.nc, 2)"}
-    rows = rows.withColumns({f"__{c}": F.expr(f"case when a.street = 0 then {e} end") for c, e in keys.items()})
-    rows = rows.join(F.broadcast(rates.select(*(F.col(c).alias(f"__{c}") for c in cell), "p_aggr", "p_fold", "p_call")), [f"__{c}" for c in cell], "left")  # at most 12,168 rows
-    rows = rows.withColumn("y", F.explode("seats")).filter("y.p <> x.p")
     state = {
-        "x": "x.p", "y": "y.p", "s": "false", "xpos": "x.pos", "ypos": "y.pos", "pa": "p_aggr", "pf": "p_fold", "pc": "p_call", "nact": "ns - a.nf",
+        "x": "x.p", "y": "y.p", "s": "false", "xpos": "x.pos", "ypos": "y.pos", "xcls": "x.cls", "nc": "a.nc", "nact": "size(seats) - a.nf",
         "first": "coalesce(a.k = x.first_no, false)", "ya": "coalesce(y.fold_no > a.k, true)", "yd": "coalesce(y.first_no < a.k, false)", "yv": "coalesce(y.vol_no < a.k, false)",
-        "yl": "coalesce(y.limp_no < a.k, false)", "pfirst": "coalesce(a.k = x.pfr_no, false)", "opener": "opened.p", "unopened": "coalesce(opened.nvol = 0, false)",
+        "yl": "coalesce(y.limp_no < a.k, false)", "pfirst": "coalesce(a.k = x.pfr_no, false)", "opener": "opened.player_idx", "unopened": "coalesce(opened.nvol = 0, false)",
     }
     inside = lambda who: f"coalesce({who}.fold_no >= q.k, true)"
     met = f"{inside('x')} and {inside('y')}"
@@ -132,10 +140,20 @@ def meetings(h: DataFrame, rates: DataFrame, steps: dict[str, str] = {}, more: d
     } | more
     counts = {"nvols": "size(filter(seats, w -> w.vol_no is not null))", "npre": "size(filter(acts, b -> b.street = 0))", "nleft": "size(filter(seats, w -> w.fold_no is null))", "folds": "filter(acts, b -> b.isfold and b.l is not null)"}
     hands = h.withColumns({**{c: F.expr(e) for c, e in counts.items()}, "streets": F.expr(f"transform(streets, q -> named_struct('t', q.t, 'k', q.k, 'aggr', q.aggr, 'n', {left}))")})
-    both = "flatten(transform(seats, x -> transform(filter(seats, y -> y.p <> x.p), y -> named_struct(" + ", ".join(f"'{c}', {e}" for c, e in whole.items()) + "))))"
-    alone = hands.select(*base, F.explode(F.expr(both)).alias("z")).select(*base, "z.*")
-    met_rows = rows.select(*base, *(F.expr(f"a.{f}").alias(c) for c, f in _ACT.items()), *(F.expr(e).alias(c) for c, e in (state | steps).items()))
-    return met_rows.unionByName(alone, allowMissingColumns=True)
+    at_step = {c: f"a.{f}" for c, f in _ACT.items()} | state | steps
+    bound = {c: re.sub(r"\b([ax])\.", r"m.\1.", e) for c, e in at_step.items()}
+    both = lambda over, fields: f"flatten(transform({over}, y -> named_struct({', '.join(f"'{c}', {e}" for c, e in fields.items())}))))"
+    moves = "transform(filter(acts, a -> exists(seats, q -> q.p = a.player_idx)), a -> named_struct('a', a, 'x', get(filter(seats, q -> q.p = a.player_idx), 0)))"
+    over = {"met": ("moves, m -> transform(filter(seats, y -> y.p <> m.x.p)", bound), "alone": ("seats, x -> transform(filter(seats, y -> y.p <> x.p)", whole)}
+    hands = hands.withColumn("moves", F.expr(moves))
+    typed = hands.select(*(F.expr(both(o, fields)).alias(c) for c, (o, fields) in over.items())).schema
+    kinds = {f.name: f.dataType.simpleString() for c in over for f in typed[c].dataType.elementType.fields}
+    every = (both(o, {n: f"cast({fields.get(n, 'null')} as {t})" for n, t in kinds.items()}) for o, fields in over.values())
+    rows = hands.select(*base, F.explode(F.concat(*map(F.expr, every))).alias("z")).select(*base, "z.*")
+    cell = {"cls": F.col("xcls"), "nr": F.least("nr", F.lit(3)), "pos": F.col("xpos"), "nc": F.least("nc", F.lit(2))}
+    keyed = rows.withColumns({f"__{c}": F.when(F.col("street") == 0, e) for c, e in cell.items()})
+    sided = rates.select(*(F.col(c).alias(f"__{c}") for c in cell), F.col("p_aggr").alias("pa"), F.col("p_fold").alias("pf"), F.col("p_call").alias("pc"))
+    return keyed.join(F.broadcast(sided), [f"__{c}" for c in cell], "left").drop(*(f"__{c}" for c in cell))  # at most 12,168 rows
 
 
 # Features of X towards Y. Each is an aggregate over the meetings of a hand, in SQL.

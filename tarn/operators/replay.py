@@ -127,11 +127,11 @@ _PRE, _POST = "get(a.eq, y.i)", "get(a.eqp, y.i)"
 _FACING = "a.l = y.p and a.to_call > 0"
 _ANSWER = """a.aggr and coalesce(y.fold_no > a.k, true) and coalesce(exists(acts, b -> b.player_idx = y.p and b.street = a.street and b.k > a.k and (b.calls or b.aggr)
     and not exists(acts, c -> coalesce(c.player_idx = x.p and c.street = a.street and c.aggr and c.k > a.k and c.k < b.k, false))), false)"""
-_HE = "get(get(hu, cast(a.street as int)), x.i * ns + y.i)"
+_HE = "get(get(hu, cast(a.street as int)), x.i * size(seats) + y.i)"
 #: Expressions for meetings() over replayed hands.
 #: In seats of meetings() a seat has its place i; acts are those of the hand.
 MORE_STEP = {
-    "hs": "a.hs", "eqx": "get(a.eq, x.i)", "eqy": _PRE, "he": _HE, "hel": "get(get(hu, cast(a.street as int)), x.i * ns + cast(array_position(transform(seats, w -> w.p), a.l) as int) - 1)",
+    "hs": "a.hs", "eqx": "get(a.eq, x.i)", "eqy": _PRE, "he": _HE, "hel": "get(get(hu, cast(a.street as int)), x.i * size(seats) + cast(array_position(transform(seats, w -> w.p), a.l) as int) - 1)",
     "xeq1": "get(eq1, x.i)", "xtp": "get(tp, x.i)", "ytp": "get(tp, y.i)", "answered": f"coalesce({_ANSWER} and {_HE} is not null, false)",
     "imp": f"((coalesce({_POST}, 0) - coalesce({_PRE}, 0)) * a.pot_before + coalesce({_POST}, 0) * a.amount) / bb",
     "gift": f"""greatest(0, case when {_FACING} and a.isfold then coalesce(get(a.eq, x.i), 0) * (a.pot_before + a.to_call) - a.to_call

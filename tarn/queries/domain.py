@@ -379,18 +379,6 @@ def starting_classes(spark: SparkSession, d: str) -> DataFrame:
     return seats(spark, d).filter("c1 is not null and c2 is not null").select("hand_idx", "player_idx", kind.alias("kind"), cards.class_169(c1, c2).alias("class"))
 
 
-@query()
-def seat_strength(spark: SparkSession, d: str) -> DataFrame:
-    """Value of each known hand on the full board, and how many opponents have a better or an equal one."""
-    board = table(spark, d, "hands").filter("hand_idx is not null and size(board) = 5").groupBy("hand_idx").agg(F.max("board").alias("board"))
-    known = seats(spark, d).filter("c1 is not null and c2 is not null").join(board, "hand_idx")
-    valued = known.select("hand_idx", "player_idx", cards.board_value("c1", "c2", "board").alias("value"))
-    w = Window.partitionBy("hand_idx").orderBy(F.col("value").desc())
-    return valued.withColumns(
-        {"better": F.rank().over(w) - 1, "tied": F.count(F.lit(1)).over(Window.partitionBy("hand_idx", "value")) - 1, "category": F.floor(F.col("value") / 13**5).cast("int")}
-    )
-
-
 # Evidence
 
 

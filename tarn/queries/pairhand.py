@@ -37,8 +37,8 @@ def whole_hands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hand_log(spark: SparkSession, d: str) -> DataFrame:
-    """hand_rows() of the whole log."""
-    return P.hand_rows(whole_hands(spark, d), table(spark, d, "seats"), table(spark, d, "actions").filter(is_step()))
+    """hand_rows() of the whole log, written once: the rates and the meetings read it."""
+    return cut(P.hand_rows(whole_hands(spark, d), table(spark, d, "seats"), table(spark, d, "actions").filter(is_step())))
 
 
 def met(spark: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarn.queries import domain, evidence, features, pairhand, relational, streams
+from tarn.queries import analyses, domain, evidence, features, pairhand, relational, streams
 
-MODULES = [features, relational, domain, evidence, pairhand, streams]
+MODULES = [features, relational, domain, evidence, pairhand, analyses, streams]
 
 
 def queries() -> dict:
