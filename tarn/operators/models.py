@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -49,14 +50,17 @@ def entity_logits(df: DataFrame, entity: str, target: str, offset: str, features
     return fits.filter("beta is not null").withColumnRenamed("e", entity)
 
 
-def assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    """Adds `features`: medians for nulls, standardised."""
+def prepared(train: DataFrame, features: list[str]):
+    """A fitted preparation that adds `features`: medians for nulls, standardised, both learnt from `train` alone."""
     names = [f"__{f}" for f in features]
-    cast = df.select("*", *(F.col(f).cast("double").alias(n) for f, n in zip(features, names)))
-    filled = Imputer(inputCols=names, outputCols=[f"{n}_i" for n in names], strategy="median").fit(cast).transform(cast)
-    vector = VectorAssembler(inputCols=[f"{n}_i" for n in names], outputCol="__raw").transform(filled)
-    scaled = StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(vector).transform(vector)
-    return scaled.drop("__raw", *names, *(f"{n}_i" for n in names))
+    raw = lambda df: df.select("*", *(F.col(f).cast("double").alias(n) for f, n in zip(features, names)))
+    stages = [
+        Imputer(inputCols=names, outputCols=[f"{n}_i" for n in names], strategy="median"),
+        VectorAssembler(inputCols=[f"{n}_i" for n in names], outputCol="__raw"),
+        StandardScaler(inputCol="__raw", outputCol="features", withMean=True),
+    ]
+    fitted = Pipeline(stages=stages).fit(raw(train))
+    return lambda df: fitted.transform(raw(df)).drop("__raw", *names, *(f"{n}_i" for n in names))
 
 
 def classifier(kind: str, label: str, weight: str | None, seed: int = 42):
@@ -69,20 +73,21 @@ def classifier(kind: str, label: str, weight: str | None, seed: int = 42):
     return GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **common)
 
 
-def cross_fit(df: DataFrame, fold: str, folds: int, label: str, kind: str = "logistic", weight: str | None = None, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """Adds `probability` (array by class): each row scored by a model fitted on the other folds, the mean over seeds. Folds are
-    given, so that related rows can share one. Rows without a label are scored, but no model is fitted on them."""
-    df = df.persist()
+def cross_fit(df: DataFrame, features: list[str], fold: str, folds: int, label: str, kind: str = "logistic", weight: str | None = None, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """Adds `probability` (array by class): each row scored by a model fitted on the other folds, the mean over seeds; medians and
+    scales are of the other folds too. Folds are given, so that related rows can share one. Rows without a label are scored,
+    but no model is fitted on them."""
     out = None
     for k in range(folds):
         train, test = df.filter((F.col(fold) != k) & F.col(label).isNotNull()), df.filter(F.col(fold) == k)
-        scored = test
+        ready = prepared(train, features)
+        train, scored = ready(train), ready(test)
         for i, seed in enumerate(seeds):
             model = classifier(kind, label, weight, seed).fit(train)
             model.setPredictionCol("").setRawPredictionCol(f"__r{i}").setProbabilityCol(f"__p{i}")
             scored = model.transform(scored).drop(f"__r{i}").withColumn(f"__p{i}", vector_to_array(f"__p{i}"))
         mean = F.transform(F.sequence(F.lit(0), F.size("__p0") - 1), lambda j: sum((F.get(f"__p{i}", j) for i in range(len(seeds))), F.lit(0.0)) / len(seeds))
-        scored = scored.withColumn("probability", mean).drop(*(f"__p{i}" for i in range(len(seeds))))
+        scored = scored.withColumn("probability", mean).drop("features", *(f"__p{i}" for i in range(len(seeds))))
         out = scored if out is None else out.unionByName(scored)
     return out
 
@@ -103,28 +108,33 @@ def platt_scaled(score: Column, slope: float, intercept: float) -> Column:
     return 1 / (1 + F.exp(-(score * slope + intercept)))
 
 
-def clusters(df: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """Adds `cluster` by k-means over `features`."""
-    return KMeans(k=k, seed=seed, predictionCol="cluster").fit(df).transform(df)
+def clusters(df: DataFrame, features: list[str], k: int, seed: int = 1) -> DataFrame:
+    """Adds `cluster` by k-means over the prepared features."""
+    ready = prepared(df, features)(df)
+    return KMeans(k=k, seed=seed, predictionCol="cluster").fit(ready).transform(ready).drop("features")
 
 
-def nested_cross_fit(df: DataFrame, outer: str, inner: str, folds: int, label: str, kind: str, weight: str | None = None) -> DataFrame:
+def nested_cross_fit(df: DataFrame, features: list[str], outer: str, inner: str, folds: int, label: str, kind: str, weight: str | None = None) -> DataFrame:
     """Two stages: a second model adds the first one's score to the features. For each outer fold, the first stage is
     cross-fitted over inner folds of the other outer folds and, for the held-out rows, fitted on all of those."""
-    df = df.persist()
     out = None
+    first_score = lambda d: d.withColumn("__s", F.get("probability", F.lit(1))).drop("probability")
     for k in range(folds):
-        train, test = df.filter(F.col(outer) != k), df.filter(F.col(outer) == k)
-        first = cross_fit(train, inner, folds, label, kind, weight).withColumn("__s", F.get("probability", F.lit(1))).drop("probability")
-        model = classifier(kind, label, weight).fit(train).setPredictionCol("").setRawPredictionCol("__r").setProbabilityCol("__p")
-        held = model.transform(test).withColumn("__s", F.get(vector_to_array("__p"), F.lit(1))).drop("__r", "__p")
-        join = VectorAssembler(inputCols=["features", "__s"], outputCol="__f")
-        second = classifier(kind, label, weight).setFeaturesCol("__f").fit(join.transform(first)).setPredictionCol("").setRawPredictionCol("__r").setProbabilityCol("__p")
-        scored = second.transform(join.transform(held)).withColumn("probability", vector_to_array("__p")).drop("__r", "__p", "__f", "__s")
-        out = scored if out is None else out.unionByName(scored)
+        train, test = df.filter((F.col(outer) != k) & F.col(label).isNotNull()), df.filter(F.col(outer) == k)
+        first = first_score(cross_fit(train, features, inner, folds, label, kind, weight))
+        held = first_score(scored_by(train, test, features, label, kind, weight))
+        second = scored_by(first, held, [*features, "__s"], label, kind, weight).drop("__s")
+        out = second if out is None else out.unionByName(second)
     return out
 
 
+def scored_by(train: DataFrame, test: DataFrame, features: list[str], label: str, kind: str, weight: str | None = None, seed: int = 42) -> DataFrame:
+    """test with the `probability` of one model fitted on train."""
+    ready = prepared(train, features)
+    model = classifier(kind, label, weight, seed).fit(ready(train.filter(F.col(label).isNotNull()))).setPredictionCol("").setRawPredictionCol("__r").setProbabilityCol("__p")
+    return model.transform(ready(test)).withColumn("probability", vector_to_array("__p")).drop("__r", "__p", "features")
+
+
 @F.pandas_udf(DoubleType())
 def binomial_surprise(hits: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """-ln P(X >= hits) of a binomial count, by summing exact terms; null where an input is."""

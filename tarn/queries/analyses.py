@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tarn.operators import baseline as B
-from tarn.operators import cards, metrics, ordered, ranking
+from tarn.operators import cards, models, ranking
 from tarn.operators import pairhand as P
-from tarn.operators import replay as R
+from tarn.plans.lineage import cut
+from tarn.queries import domain as D
+from tarn.queries import evidence as V
 from tarn.queries import pairhand as Q
-from tarn.queries.base import HANDS, PAIRS, SEATS, hands, pair_stats, seats
-from tarn.queries.domain import _AP, _EV, _KEY, _LABELLED, _PAIRHAND, _SC, KEY, class_scores, labelled, listed, pair_hands
+from tarn.queries.base import HANDS, SEATS, hands, seats
+from tarn.queries.domain import _LABELLED, _PAIRHAND, _SC, class_scores, labelled, listed, pair_hands
 from tarn.queries.relational import R6
 from tarn.sources.tables import table
 
@@ -250,3 +252,145 @@ def context_llr(spark: SparkSession, d: str) -> DataFrame:
     own = F.sum("m").over(Window.partitionBy("player_idx", *ctx))
     rows = cells.withColumn("n", own).join(F.broadcast(fine.select(*ctx, "c", p.alias("p"))), [*ctx, "c"])  # at most 96 rows
     return rows.groupBy("player_idx").agg(F.sum("m").alias("n"), F.round(F.sum(F.col("m") * F.ln(((F.col("m") + 10 * F.col("p")) / (F.col("n") + 10)) / F.col("p"))), 4).alias("llr"))
+
+
+_SUB = lambda name: "(" + {**D.ORACLES, **V.ORACLES}[name] + ")"
+
+
+@query(f"SELECT round(0.7 * (SELECT ap FROM {_SUB('average_precision')}) + 0.2 * (SELECT map5 FROM {_SUB('map_at_5')}) + 0.1 * (SELECT avg(ap) FROM {_SUB('behaviour_ap')}), 5) AS composite")
+def composite_score(spark: SparkSession, d: str) -> DataFrame:
+    """0.7 of the pairs' average precision, 0.2 of the lists' mean precision at five, 0.1 of the mean over families."""
+    pair, lists = D.average_precision(spark, d).toDF("p"), D.map_at_5(spark, d).select(F.col("map5").alias("e"))
+    family = D.behaviour_ap(spark, d).agg(F.avg("ap").alias("f"))
+    return pair.crossJoin(lists).crossJoin(family).select(F.round(0.7 * F.col("p") + 0.2 * F.col("e") + 0.1 * F.col("f"), 5).alias("composite"))  # one row each
+
+
+@query(f"""WITH {HANDS}, {SEATS}, l AS (SELECT pair_id, max(p1) AS p1, max(p2) AS p2 FROM labels WHERE pair_id IS NOT NULL GROUP BY 1), k AS (SELECT e.pair_id, e.hand_idx, count(*) AS n, min(evidence_rank) AS low FROM evidence e GROUP BY 1, 2),
+c AS (SELECT k.*, l.pair_id IS NULL AS no_pair, h.hand_idx IS NULL AS no_hand, phase, x.hand_idx IS NOT NULL AND y.hand_idx IS NOT NULL AS seated FROM k LEFT JOIN l USING (pair_id) LEFT JOIN h ON h.hand_idx = k.hand_idx LEFT JOIN s x ON x.hand_idx = k.hand_idx AND x.player_idx = p1 LEFT JOIN s y ON y.hand_idx = k.hand_idx AND y.player_idx = p2)
+SELECT count(*) AS listed, count(*) FILTER (n > 1) AS repeated, count(*) FILTER (low < 1 OR low IS NULL) AS out_of_range, count(*) FILTER (no_pair) AS unknown_pair, count(*) FILTER (no_hand) AS unknown_hand, count(*) FILTER (phase = 1) AS second_phase, count(*) FILTER (NOT no_pair AND NOT no_hand AND NOT seated) AS not_both_seated FROM c""")
+def evidence_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Listed hands that break a rule: listed twice, without a valid rank, of no known pair or hand, of the wrong phase, or in which
+    the two did not both sit."""
+    l = table(spark, d, "labels").filter("pair_id is not null").groupBy("pair_id").agg(F.max("p1").alias("p1"), F.max("p2").alias("p2")).withColumn("paired", F.lit(True))
+    k = table(spark, d, "evidence").groupBy("pair_id", "hand_idx").agg(F.count(F.lit(1)).alias("n"), F.min("evidence_rank").alias("low"))
+    h = hands(spark, d).select("hand_idx", "phase").withColumn("known", F.lit(True))
+    s = seats(spark, d).select("hand_idx", "player_idx")
+    at = lambda p: s.select("hand_idx", F.col("player_idx").alias(p), F.lit(True).alias(f"{p}_sat"))
+    c = k.join(l, "pair_id", "left").join(h, "hand_idx", "left").join(at("p1"), ["hand_idx", "p1"], "left").join(at("p2"), ["hand_idx", "p2"], "left")
+    no = lambda c: F.col(c).isNull()
+    return c.agg(
+        F.count(F.lit(1)).alias("listed"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if((F.col("low") < 1) | no("low")).alias("out_of_range"), F.count_if(no("paired")).alias("unknown_pair"),
+        F.count_if(no("known")).alias("unknown_hand"), F.count_if(F.col("phase") == 1).alias("second_phase"), F.count_if(~no("paired") & ~no("known") & (no("p1_sat") | no("p2_sat"))).alias("not_both_seated"),
+    )
+
+
+@query(_LABELLED + f", r AS (SELECT a, b, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2) / count(*) OVER () AS r1, (rank() OVER (ORDER BY score2) + (count(*) OVER (PARTITION BY score2) - 1) / 2) / count(*) OVER () AS r2 FROM y) SELECT a, b, round(greatest(r1, r2), 6) AS most, round(r1 + r2, 6) AS total, round(0.5 * greatest(r1, r2) + 0.5 * (r1 + r2) / 2, 6) AS mixed FROM r")
+def specialist_combiners(spark: SparkSession, d: str) -> DataFrame:
+    """Two specialists' ranks put together by maximum, by sum, and by half of each."""
+    r1, r2 = F.col("r1"), F.col("r2")
+    return D.fused(spark, d).select("a", "b", R6(F.greatest(r1, r2)).alias("most"), R6(r1 + r2).alias("total"), R6(0.5 * F.greatest(r1, r2) + 0.5 * (r1 + r2) / 2).alias("mixed"))
+
+
+@query(_PAIRHAND + _SC + f""", {HANDS.replace('h AS', 'hp AS')}, k AS (SELECT sc.*, row_number() OVER (PARTITION BY pair_id ORDER BY final_pot DESC NULLS LAST, hand_idx) AS pot_rank FROM sc LEFT JOIN hp USING (hand_idx)) SELECT pair_id, hand_idx, round(0.7 * s_a + 0.3 * s_b + 1e-7 / pot_rank, 9) AS blended FROM k""")
+def blend_with_tie_break(spark: SparkSession, d: str) -> DataFrame:
+    """A blend of two scores in which the greater pot goes first among equals."""
+    pot = hands(spark, d).select("hand_idx", "final_pot")
+    k = class_scores(spark, d).join(pot, "hand_idx", "left").withColumn("i", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.col("final_pot").desc_nulls_last(), "hand_idx")))
+    return k.select("pair_id", "hand_idx", F.round(0.7 * F.col("s_a") + 0.3 * F.col("s_b") + 1e-7 / F.col("i"), 9).alias("blended"))
+
+
+# Model loops over labelled pairs
+
+
+@query()
+def own_fold_or_mean(spark: SparkSession, d: str) -> DataFrame:
+    """A pair's score by the model of its own fold, which has not seen it, and the mean over the models of all folds."""
+    rows = D.model_rows(spark, d).withColumn("label", F.coalesce("label", F.lit(0.0)))
+    out = None
+    for k in range(2):
+        one = models.scored_by(rows.filter(F.col("fold") != k), rows, D.FEATURES, "label", "logistic", "w").select("a", "b", "fold", F.lit(k).alias("k"), F.get("probability", F.lit(1)).alias("p"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("a", "b").agg(F.max(F.when(F.col("fold") == F.col("k"), F.col("p"))).alias("own"), F.avg("p").alias("mean"))
+
+
+FAMILIES = ["directed_transfer", "soft_play", "coordinated_isolation"]
+
+
+@query()
+def family_specialists(spark: SparkSession, d: str) -> DataFrame:
+    """For every family, a model of that family against the negatives, and one of all other families, each on held-out tables."""
+    rows, out = D.model_rows(spark, d), None
+    for f in FAMILIES:
+        of = F.col("pos") & (F.col("family") == f)
+        special = models.cross_fit(rows.withColumn("label", F.when(of, 1.0).when(~F.col("pos"), 0.0)), D.FEATURES, "fold", 2, "label", "logistic", "w").select("a", "b", F.get("probability", F.lit(1)).alias("special"))
+        without = models.cross_fit(rows.withColumn("label", F.when(F.col("pos") & (F.col("family") != f), 1.0).when(~F.col("pos"), 0.0)), D.FEATURES, "fold", 2, "label", "logistic", "w").select("a", "b", F.get("probability", F.lit(1)).alias("without"))
+        one = special.join(without, ["a", "b"]).withColumn("family", F.lit(f))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def seed_bags(spark: SparkSession, d: str) -> DataFrame:
+    """Three seeds of a forest put together: the mean probability, the mean logit, and that scaled again by Platt."""
+    rows, p = D.model_rows(spark, d), None
+    for seed in (1, 2, 3):
+        one = models.cross_fit(rows, D.FEATURES, "fold", 2, "label", "forest", seeds=(seed,)).select("a", "b", "label", F.least(F.greatest(F.get("probability", F.lit(1)), F.lit(1e-6)), F.lit(1 - 1e-6)).alias("p"))
+        p = one if p is None else p.unionByName(one)
+    m = cut(p.groupBy("a", "b").agg(F.max("label").alias("label"), F.avg("p").alias("probmean"), F.avg(F.ln(F.col("p") / (1 - F.col("p")))).alias("margmean")))
+    slope, intercept = models.platt(m, "margmean", "label")
+    return m.select("a", "b", "probmean", "margmean", models.platt_scaled(F.col("margmean"), slope, intercept).alias("replatt"))
+
+
+@query()
+def pair_views(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs by three views of the features (counts, rates, both), and a family head whose classes weigh alike."""
+    rows = D.model_rows(spark, d)
+    views = {"counts": ["n", "flow", "sd"], "rates": ["score", "score2"], "both": D.FEATURES}
+    out = rows.select("a", "b")
+    for name, features in views.items():
+        out = out.join(models.cross_fit(rows, features, "fold", 2, "label", "trees", "w").select("a", "b", F.get("probability", F.lit(1)).alias(name)), ["a", "b"])
+    code = F.coalesce(*(F.when(F.col("pos") & (F.col("family") == f), F.lit(float(i + 1))) for i, f in enumerate(FAMILIES)), F.lit(0.0))
+    coded = rows.withColumn("label", code)
+    per = coded.groupBy("label").agg((F.lit(1.0) / F.count(F.lit(1))).alias("even"))
+    head = models.cross_fit(coded.drop("w").join(F.broadcast(per), "label").withColumn("w", F.col("even") * 1000), D.FEATURES, "fold", 2, "label", "logistic", "w")  # as many rows as families
+    return out.join(head.select("a", "b", F.col("probability").alias("families")), ["a", "b"])
+
+
+def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Hands of positive labelled pairs with features of the pair-hand, whether they are listed, and the pair's fold."""
+    lb = table(spark, d, "labels").filter("label = 1 and pair_id is not null and p1 is not null and p2 is not null").groupBy("pair_id").agg(F.max("p1").alias("a"), F.max("p2").alias("b"), F.max("behavior_family").alias("family"))
+    near = listed(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("pair_id").orderBy("r", "hand_idx"))).select("pair_id", "hand_idx", "r")
+    ph = pair_hands(spark, d).withColumns({"moved": F.abs("transfer"), "faced": F.col("face_ab") + F.col("face_ba"), "folded": F.col("fold_ab") + F.col("fold_ba"), "flop": F.col("both_flop").cast("int"), "sd": F.col("sd_both").cast("int")})
+    rows = ph.join(lb, ["a", "b"]).join(near, ["pair_id", "hand_idx"], "left")
+    last = F.max(F.when(F.col("r") <= 5, F.col("hand_idx"))).over(Window.partitionBy("pair_id"))
+    rows = rows.withColumns({"label": F.when(F.col("r") <= 5, 1.0).otherwise(0.0), "last": last, "fold": F.pmod(F.xxhash64("pair_id"), F.lit(2)).cast("int")})
+    return cut(rows.withColumns({f"is_{f}": (F.col("family") == f).cast("int") for f in FAMILIES}))
+
+
+HAND_FEATURES = ["moved", "faced", "folded", "raiseback", "flop", "sd"]
+
+
+@query()
+def hand_rankers(spark: SparkSession, d: str) -> DataFrame:
+    """Hands of positive pairs ranked by a model of all families, which sees the family, and by one per family."""
+    rows = evidence_rows(spark, d)
+    p = F.get("probability", F.lit(1))
+    pooled = models.cross_fit(rows, [*HAND_FEATURES, *(f"is_{f}" for f in FAMILIES)], "fold", 2, "label").select("pair_id", "hand_idx", p.alias("pooled"))
+    own = None
+    for f in FAMILIES:
+        one = models.cross_fit(rows.filter(F.col("family") == f), HAND_FEATURES, "fold", 2, "label").select("pair_id", "hand_idx", p.alias("own"))
+        own = one if own is None else own.unionByName(one)
+    return pooled.join(own, ["pair_id", "hand_idx"], "left")
+
+
+@query()
+def segment_model(spark: SparkSession, d: str) -> DataFrame:
+    """Three classes of a positive pair's hands (listed, passed over, after the last listed one), and the fifteen likeliest ranked
+    again by a model that sees how each compares with its list."""
+    rows = evidence_rows(spark, d).withColumn("label", F.when(F.col("label") == 1, 2.0).when(F.col("hand_idx") < F.col("last"), 1.0).otherwise(0.0))
+    first = cut(models.cross_fit(rows, HAND_FEATURES, "fold", 2, "label").withColumn("p", F.get("probability", F.lit(2))))
+    short = ranking.top_k(first.drop("probability"), ["pair_id"], [F.col("p").desc(), F.col("hand_idx")], 15, "place").withColumn("label", (F.col("label") == 2).cast("double"))
+    w = Window.partitionBy("pair_id")
+    short = cut(short.withColumns({"share": F.col("p") / F.sum("p").over(w), "gap": F.max("p").over(w) - F.col("p")}))
+    second = models.cross_fit(short, [*HAND_FEATURES, "p", "share", "gap", "place"], "fold", 2, "label").select("pair_id", "hand_idx", "place", F.get("probability", F.lit(1)).alias("again"))
+    return first.select("pair_id", "hand_idx", "probability").join(second, ["pair_id", "hand_idx"], "left")

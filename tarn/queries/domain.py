@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import baseline as B
 from tarn.operators import cards, graph, listing, metrics, models, ordered, ranking, shaping
+from tarn.plans.lineage import cut
 from tarn.queries.base import ACTIONS, HANDS, PAIRS, SEATS, actions, hands, pair_stats, seats
 from tarn.queries.relational import R6, facing
 from tarn.sources.tables import table
@@ -411,23 +412,30 @@ def censoring_labels(spark: SparkSession, d: str) -> DataFrame:
     return l.select("pair_id", "hand_idx", F.when(F.col("r") <= 3, 1).when(F.col("hand_idx") < F.col("last"), 0).alias("y"))
 
 
-_SC = ", sc AS (SELECT pair_id, hand_idx, round(1.0 / (1 + r), 6) AS s_a, round((hand_idx % 97) / 97.0, 6) AS s_b FROM ev)"
+_GIVEN = "abs(transfer) + 5 * CASE WHEN (transfer > 0 AND fold_ab > 0) OR (transfer < 0 AND fold_ba > 0) THEN 1 ELSE 0 END"
+_SPARED = "10 * CASE WHEN face_ab + face_ba > 0 AND raiseback = 0 THEN 1 ELSE 0 END + 2 * CASE WHEN both_flop THEN 1 ELSE 0 END + CASE WHEN both_vol THEN 1 ELSE 0 END"
+_SC = f", lb AS (SELECT DISTINCT pair_id, p1 AS a, p2 AS b FROM labels WHERE pair_id IS NOT NULL AND p1 IS NOT NULL AND p2 IS NOT NULL), rs AS (SELECT pair_id, hand_idx, coalesce({_GIVEN}, 0) AS v, {_SPARED} AS w FROM ph JOIN lb USING (a, b)), sc AS (SELECT pair_id, hand_idx, max(round(v / (v + 10), 6)) AS s_a, max(round(w / (w + 10.0), 6)) AS s_b FROM rs GROUP BY 1, 2)"
 
 
 def class_scores(spark: SparkSession, d: str) -> DataFrame:
-    return listed(spark, d).select("pair_id", "hand_idx", F.round(1.0 / (1 + F.col("r")), 6).alias("s_a"), F.round(F.col("hand_idx") % 97 / 97.0, 6).alias("s_b"))
+    """(pair_id, hand_idx, s_a, s_b): of every hand of a labelled pair, how much one gave the other, and how much they spared each
+    other, by rules over the pair-hand, as v / (v + 10)."""
+    lb = table(spark, d, "labels").filter("pair_id is not null and p1 is not null and p2 is not null").select("pair_id", F.col("p1").alias("a"), F.col("p2").alias("b")).distinct()
+    rs = pair_hands(spark, d).join(F.broadcast(lb), ["a", "b"]) if lb.limit(1_000_001).count() <= 1_000_000 else pair_hands(spark, d).join(lb, ["a", "b"])
+    rs = rs.withColumns({"v": F.expr(f"coalesce({_GIVEN}, 0)"), "w": F.expr(_SPARED)})
+    return rs.groupBy("pair_id", "hand_idx").agg(F.max(F.round(F.col("v") / (F.col("v") + 10), 6)).alias("s_a"), F.max(F.round(F.col("w") / (F.col("w") + 10.0), 6)).alias("s_b"))
 
 
-@query(_EV + _SC + """, po AS (SELECT pair_id, max(CASE WHEN behavior_family = 'soft_play' THEN 0.7 ELSE 0.3 END)::DOUBLE AS pa, 0.3::DOUBLE AS pb FROM labels WHERE pair_id IS NOT NULL GROUP BY 1),
-m AS (SELECT sc.*, round(coalesce(pa / (pa + pb), 0.5) * s_a + coalesce(pb / (pa + pb), 0.5) * s_b, 9) AS mix, greatest(s_a, s_b) AS top FROM sc LEFT JOIN po USING (pair_id)), p AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY mix DESC, top DESC, hand_idx) AS r FROM m),
-ids AS (SELECT pair_id FROM po UNION SELECT pair_id FROM sc) SELECT ids.pair_id, """ + ", ".join(f"coalesce(max(CASE WHEN r = {i} THEN hand_idx::VARCHAR END), 'NO_EVIDENCE') AS item_{i}" for i in range(1, 6)) + " FROM ids LEFT JOIN p ON ids.pair_id = p.pair_id GROUP BY 1")
+@query(_PAIRHAND + _SC + """, po AS (SELECT pair_id, max(CASE WHEN behavior_family = 'soft_play' THEN 0.7 ELSE 0.3 END)::DOUBLE AS pa, 0.3::DOUBLE AS pb FROM labels WHERE pair_id IS NOT NULL GROUP BY 1),
+mx AS (SELECT sc.*, round(coalesce(pa / (pa + pb), 0.5) * s_a + coalesce(pb / (pa + pb), 0.5) * s_b, 9) AS mix, greatest(s_a, s_b) AS top FROM sc LEFT JOIN po USING (pair_id)), pl AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY mix DESC, top DESC, hand_idx) AS r FROM mx),
+ids AS (SELECT pair_id FROM po UNION SELECT pair_id FROM sc) SELECT ids.pair_id, """ + ", ".join(f"coalesce(max(CASE WHEN r = {i} THEN hand_idx::VARCHAR END), 'NO_EVIDENCE') AS item_{i}" for i in range(1, 6)) + " FROM ids LEFT JOIN pl ON ids.pair_id = pl.pair_id GROUP BY 1")
 def compose_top5(spark: SparkSession, d: str) -> DataFrame:
     """Five hands for every pair from a mixture of class scores."""
     p = table(spark, d, "labels").filter("pair_id is not null").groupBy("pair_id").agg(F.max(F.when(F.col("behavior_family") == "soft_play", 0.7).otherwise(0.3)).alias("P_a"))
     return listing.compose(class_scores(spark, d), p.withColumn("P_b", F.lit(0.3)), "pair_id", "hand_idx", ["a", "b"])
 
 
-@query(_EV + _SC + """, k AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY s_a DESC, hand_idx) AS i FROM sc), g AS (SELECT pair_id, avg(s_a) AS t5 FROM k WHERE i <= 5 GROUP BY 1), w AS (SELECT pair_id, 0.7 * least(greatest((t5 - 0.1) / 0.2, 0), 1) AS w FROM g)
+@query(_PAIRHAND + _SC + """, k AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY s_a DESC, hand_idx) AS i FROM sc), g AS (SELECT pair_id, avg(s_a) AS t5 FROM k WHERE i <= 5 GROUP BY 1), w AS (SELECT pair_id, 0.7 * least(greatest((t5 - 0.1) / 0.2, 0), 1) AS w FROM g)
 SELECT pair_id, hand_idx, round((1 - w) * s_a + w * s_b, 8) AS blended FROM sc JOIN w USING (pair_id)""")
 def gate_ramp_blend(spark: SparkSession, d: str) -> DataFrame:
     """A second score weighs in as far as the pair's five best of the first are strong."""
@@ -565,16 +573,22 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
 # Models
 
 
+FEATURES = ["n", "flow", "sd", "score", "score2"]
+
+
 def model_rows(spark: SparkSession, d: str, how: str = "inner") -> DataFrame:
-    y = labelled(spark, d, how).withColumns({"label": F.col("pos").cast("double"), "fold": F.pmod(F.xxhash64("a"), F.lit(2)).cast("int"), "w": F.when(F.col("pos"), 5.0).otherwise(1.0)})
-    y = y.persist() if how == "left" else y  # three passes follow, over all pairs
-    return models.assembled(y, ["n", "flow", "sd", "score", "score2"])
+    """Pairs with a label (or all, how = "left"), a fold that all pairs of a table share, and a weight. A pair's table is the
+    smallest at which both sat."""
+    at = pair_stats(spark, d).groupBy("a", "b").agg(F.min("table_idx").alias("at"))
+    y = labelled(spark, d, how).join(at, ["a", "b"])
+    y = y.withColumns({"label": F.col("pos").cast("double"), "fold": F.pmod(F.xxhash64("at"), F.lit(2)).cast("int"), "w": F.when(F.col("pos"), 5.0).otherwise(1.0)})
+    return cut(y)  # several passes follow
 
 
 @query()
 def cross_fitted_logistic(spark: SparkSession, d: str) -> DataFrame:
     """Weighted logistic regression, each half scored by the other's model, then Platt-scaled."""
-    s = models.cross_fit(model_rows(spark, d), "fold", 2, "label", "logistic", "w").withColumn("p", F.get("probability", F.lit(1)))
+    s = models.cross_fit(model_rows(spark, d), FEATURES, "fold", 2, "label", "logistic", "w").withColumn("p", F.get("probability", F.lit(1)))
     slope, intercept = models.platt(s.select("p", "label"), "p", "label")
     return s.select("a", "b", "p", models.platt_scaled(F.col("p"), slope, intercept).alias("scaled"))
 
@@ -584,12 +598,12 @@ def cross_fitted_forest(spark: SparkSession, d: str) -> DataFrame:
     """A random forest over families, the mean of two seeds."""
     rows = model_rows(spark, d)
     code = F.when(F.col("family") == "directed_transfer", 1.0).when(F.col("family") == "soft_play", 2.0).when(F.col("family") == "coordinated_isolation", 3.0).otherwise(0.0)
-    return models.cross_fit(rows.withColumn("label", code), "fold", 2, "label", "forest", seeds=(1, 2)).select("a", "b", "probability")
+    return models.cross_fit(rows.withColumn("label", code), FEATURES, "fold", 2, "label", "forest", seeds=(1, 2)).select("a", "b", "probability")
 
 
 @query()
 def cross_fitted_trees(spark: SparkSession, d: str) -> DataFrame:
-    return models.cross_fit(model_rows(spark, d), "fold", 2, "label", "trees", "w").select("a", "b", F.get("probability", F.lit(1)).alias("p"))
+    return models.cross_fit(model_rows(spark, d), FEATURES, "fold", 2, "label", "trees", "w").select("a", "b", F.get("probability", F.lit(1)).alias("p"))
 
 
 @query()
@@ -603,4 +617,4 @@ def player_logits(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pair_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return models.clusters(model_rows(spark, d), 4).select("a", "b", "cluster")
+    return models.clusters(model_rows(spark, d), FEATURES, 4).select("a", "b", "cluster")

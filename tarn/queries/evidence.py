@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import cards, listing, models, ordered, ranking, shaping
 from tarn.queries.base import ACTIONS, HANDS, actions, hands, seats
-from tarn.queries.domain import _EV, _KEY, _LABELLED, _PAIRHAND, _SC, AGGR, CALL, KEY, class_scores, labelled, listed, model_rows, pair_hands, rowcol
+from tarn.queries.domain import FEATURES, _EV, _KEY, _LABELLED, _PAIRHAND, _SC, AGGR, CALL, KEY, class_scores, labelled, listed, model_rows, pair_hands, rowcol
 from tarn.queries.relational import R6
 from tarn.sources.tables import table
 
@@ -141,7 +141,7 @@ def permutation_null(spark: SparkSession, d: str) -> DataFrame:
     return null.agg(F.max("seen").alias("seen"), F.avg("null").alias("null_mean"), F.stddev_samp("null").alias("null_sd"), F.avg((F.col("null") >= F.col("seen")).cast("int")).alias("p"))
 
 
-@query(_EV + _SC + ", pr AS (SELECT pair_id, max(CASE WHEN behavior_family = 'soft_play' THEN 'b' ELSE 'a' END) AS cls FROM labels WHERE pair_id IS NOT NULL GROUP BY 1), k AS (SELECT pair_id, cls, hand_idx, row_number() OVER (PARTITION BY pair_id ORDER BY CASE cls WHEN 'a' THEN s_a ELSE s_b END DESC, hand_idx) AS i FROM sc JOIN pr USING (pair_id)) SELECT pair_id, cls, max(hand_idx) FILTER (i = 1) AS h1, max(hand_idx) FILTER (i = 2) AS h2, max(hand_idx) FILTER (i = 3) AS h3 FROM k GROUP BY 1, 2")
+@query(_PAIRHAND + _SC + ", pr AS (SELECT pair_id, max(CASE WHEN behavior_family = 'soft_play' THEN 'b' ELSE 'a' END) AS cls FROM labels WHERE pair_id IS NOT NULL GROUP BY 1), k AS (SELECT pair_id, cls, hand_idx, row_number() OVER (PARTITION BY pair_id ORDER BY CASE cls WHEN 'a' THEN s_a ELSE s_b END DESC, hand_idx) AS i FROM sc JOIN pr USING (pair_id)) SELECT pair_id, cls, max(hand_idx) FILTER (i = 1) AS h1, max(hand_idx) FILTER (i = 2) AS h2, max(hand_idx) FILTER (i = 3) AS h3 FROM k GROUP BY 1, 2")
 def routed_top3(spark: SparkSession, d: str) -> DataFrame:
     """The three best hands by the score of the class that is predicted for the pair."""
     p = table(spark, d, "labels").filter("pair_id is not null").groupBy("pair_id").agg(F.max(F.when(F.col("behavior_family") == "soft_play", "b").otherwise("a")).alias("cls"))
@@ -163,16 +163,6 @@ def frozen_folds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "poker_tables").select("table_idx", (digest % 5).cast("int").alias("fold"))
 
 
-@query(_LABELLED + f""", o AS (SELECT pos, row_number() OVER w AS i, sum(pos::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS hits FROM y WINDOW w AS (ORDER BY score DESC, {_KEY})), a1 AS (SELECT coalesce(sum(CASE WHEN pos THEN hits::DOUBLE / i ELSE 0 END) / nullif(sum(pos::INT), 0), 0) AS ap FROM o),
-o2 AS (SELECT pos, row_number() OVER w AS i, sum(pos::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS hits FROM y WINDOW w AS (ORDER BY score2 DESC, {_KEY})), a2 AS (SELECT coalesce(sum(CASE WHEN pos THEN hits::DOUBLE / i ELSE 0 END) / nullif(sum(pos::INT), 0), 0) AS ap FROM o2) SELECT round(0.7 * a1.ap + 0.3 * a2.ap, 6) AS composite FROM a1, a2""")
-def composite_score(spark: SparkSession, d: str) -> DataFrame:
-    from tarn.operators.metrics import average_precision
-
-    y = labelled(spark, d).withColumn("key", KEY())
-    one, two = (average_precision(y, s, "pos", "key") for s in ("score", "score2"))
-    return one.toDF("x").crossJoin(two.toDF("y")).select(R6(0.7 * F.col("x") + 0.3 * F.col("y")).alias("composite"))  # one row each
-
-
 @query()
 def best_lists(spark: SparkSession, d: str) -> DataFrame:
     """For each pair the ordered five of greatest expected precision on its ten likeliest hands, a greedy list that discounts
@@ -231,17 +221,17 @@ def board_equity(spark: SparkSession, d: str) -> DataFrame:
 def self_trained(spark: SparkSession, d: str) -> DataFrame:
     """Pairs without a label that a first model takes for positive join a second one at a low weight; every pair is scored."""
     rows = model_rows(spark, d, "left")
-    first = models.cross_fit(rows, "fold", 2, "label", "logistic", "w").withColumn("p", F.get("probability", F.lit(1))).drop("probability")
+    first = models.cross_fit(rows, FEATURES, "fold", 2, "label", "logistic", "w").withColumn("p", F.get("probability", F.lit(1))).drop("probability")
     extra = models.pseudo_positives(first, "p", "label", "w", 0.2)
-    second = models.cross_fit(first.withColumn("own", F.lit(True)).unionByName(extra.withColumn("own", F.lit(False))), "fold", 2, "label", "logistic", "w")
+    second = models.cross_fit(first.withColumn("own", F.lit(True)).unionByName(extra.withColumn("own", F.lit(False))), FEATURES, "fold", 2, "label", "logistic", "w")
     return second.filter("own").select("a", "b", "p", F.get("probability", F.lit(1)).alias("q"))
 
 
 @query()
 def nested_fit(spark: SparkSession, d: str) -> DataFrame:
     """A second stage sees only first-stage scores that were made without the outer fold."""
-    rows = model_rows(spark, d).withColumn("inner", F.pmod(F.xxhash64("b"), F.lit(2)).cast("int"))
-    return models.nested_cross_fit(rows, "fold", "inner", 2, "label", "logistic", "w").select("a", "b", F.get("probability", F.lit(1)).alias("p"))
+    rows = model_rows(spark, d).withColumn("inner", F.pmod(F.xxhash64("at", F.lit("inner")), F.lit(2)).cast("int"))
+    return models.nested_cross_fit(rows, FEATURES, "fold", "inner", 2, "label", "logistic", "w").select("a", "b", F.get("probability", F.lit(1)).alias("p"))
 
 
 @query()

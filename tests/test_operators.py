@@ -191,14 +191,14 @@ def test_equity_at_the_river_splits_ties():
 @pytest.mark.parametrize("kind", ["logistic", "trees"])
 def test_cross_fit_separates_held_out_rows(spark, kind):
     df = spark.range(400).selectExpr("id", "cast(id % 2 as double) as label", "cast(id % 2 as double) + rand(1) as x", "cast(id % 3 as int) as fold")
-    scored = models.cross_fit(models.assembled(df, ["x"]), "fold", 3, "label", kind)
+    scored = models.cross_fit(df, ["x"], "fold", 3, "label", kind)
     right = scored.selectExpr("avg(cast((probability[1] > 0.5) = (label = 1) as int))").first()[0]
     assert right > 0.9
 
 
 def test_rows_without_a_label_are_scored_and_only_they_become_positives(spark):
     df = spark.range(400).selectExpr("id", "if(id % 4 < 2, cast(id % 2 as double), null) as label", "cast(id % 2 as double) + rand(1) as x", "cast(id % 3 as int) as fold", "1.0D as w")
-    scored = models.cross_fit(models.assembled(df, ["x"]), "fold", 3, "label", "logistic", "w").selectExpr("*", "probability[1] as p")
+    scored = models.cross_fit(df, ["x"], "fold", 3, "label", "logistic", "w").selectExpr("*", "probability[1] as p")
     assert scored.count() == 400
     flipped = scored.withColumn("p", scored.p * 0 + 0.9)
     extra = models.pseudo_positives(flipped, "p", "label", "w", 0.2)

@@ -62,4 +62,15 @@ def test_best_lists_shift_every_hand_of_a_pair(spark, data):
 
 def test_windows_of_whole_tables_are_bounded(spark, data):
     f = QUERIES["p5_windows"](spark, data)
-    assert f.filter("last_7_count < last_30_count").count() > 0 and f.filter("last_7_count > last_30_count").count() == 0
+    assert f.filter("last_1_count < last_7_count").count() > 0 and f.filter("last_1_count > last_7_count").count() == 0 and f.filter("prior_7_count > 0").count() > 0
+
+
+def test_folds_do_not_cut_tables(spark, data):
+    from tarn.queries.domain import model_rows
+
+    assert model_rows(spark, data).groupBy("at").agg({"fold": "min", "fold": "max"}).count() == model_rows(spark, data).select("at", "fold").distinct().count()
+
+
+def test_impacts_of_a_hand_add_up_to_nothing(spark, data):
+    sums = QUERIES["luck_free_impact"](spark, data).groupBy("hand_idx").agg({"impact": "sum"}).toDF("hand_idx", "v")
+    assert sums.filter("abs(v) > 1e-6").count() == 0
