@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from tarn.operators.skew import with_group
+
 #: Fixed values of the method.
 Z_FLOOR = 1e-9
 RATE_FLOOR = 1e-6
@@ -48,8 +50,9 @@ def log_lift(hit: Column, expected: Column) -> Column:
 
 def own_baseline(directed: DataFrame, hit: str, n: str) -> DataFrame:
     """directed has (x, y, hit, n). Adds the excess and log-lift over x's rate with all others, y's rank for x, and x's top flag."""
-    base = F.coalesce(leave_one_out(F.col(hit), F.col(n), "x"), F.lit(0.0))
-    rows = directed.withColumn("expected", F.col(n) * base)
+    sums = with_group(directed, ["x"], ["y"], __h=F.sum(hit), __m=F.sum(n))
+    base = F.coalesce(rate(F.col("__h") - F.col(hit), F.col("__m") - F.col(n)), F.lit(0.0))
+    rows = sums.withColumn("expected", F.col(n) * base).drop("__h", "__m")
     rows = rows.withColumn("excess", F.col(hit) - F.col("expected")).withColumn("llift", log_lift(F.col(hit), F.col("expected")))
     place = F.row_number().over(over("x").orderBy(F.round("llift", 9).desc(), F.col("y")))
     return rows.withColumn("rank", place).withColumn("top", F.col("rank") == 1)
@@ -65,10 +68,11 @@ def unordered(directed: DataFrame) -> DataFrame:
 
 def leave_one_out_z(directed: DataFrame, hit: str, n: str) -> DataFrame:
     """directed has (x, y, hit, n). Adds z of the hits under x's rate with all others, that rate being kept off 0 and 1, so every row has one."""
-    h, m, w = F.col(hit), F.col(n), over("x")
-    other = (F.sum(h).over(w) - h) / F.greatest(F.sum(m).over(w) - m, F.lit(1))
-    rows = directed.withColumn("__p", F.least(F.greatest(other, F.lit(RATE_FLOOR)), F.lit(1 - RATE_FLOOR)))
-    return rows.withColumn("z", (h - m * F.col("__p")) / F.sqrt(m * F.col("__p") * (1 - F.col("__p")))).drop("__p")
+    h, m = F.col(hit), F.col(n)
+    sums = with_group(directed, ["x"], ["y"], __h=F.sum(h), __m=F.sum(m))
+    other = (F.col("__h") - h) / F.greatest(F.col("__m") - m, F.lit(1))
+    rows = sums.withColumn("__p", F.least(F.greatest(other, F.lit(RATE_FLOOR)), F.lit(1 - RATE_FLOOR)))
+    return rows.withColumn("z", (h - m * F.col("__p")) / F.sqrt(m * F.col("__p") * (1 - F.col("__p")))).drop("__p", "__h", "__m")
 
 
 def softmax_gap(df: DataFrame, partition: str, score: str, tie: str) -> DataFrame:

@@ -394,3 +394,74 @@ def segment_model(spark: SparkSession, d: str) -> DataFrame:
     short = cut(short.withColumns({"share": F.col("p") / F.sum("p").over(w), "gap": F.max("p").over(w) - F.col("p")}))
     second = models.cross_fit(short, [*HAND_FEATURES, "p", "share", "gap", "place"], "fold", 2, "label").select("pair_id", "hand_idx", "place", F.get("probability", F.lit(1)).alias("again"))
     return first.select("pair_id", "hand_idx", "probability").join(second, ["pair_id", "hand_idx"], "left")
+
+
+# Orientation, context and player models
+
+
+_DONOR = """CASE WHEN net_bb_ab < 0 AND net_bb_ba > 0 THEN 'a' WHEN net_bb_ba < 0 AND net_bb_ab > 0 THEN 'b' WHEN gift_ab > gift_ba THEN 'a' WHEN gift_ab < gift_ba THEN 'b'
+WHEN net_bb_ab < net_bb_ba THEN 'a' WHEN net_bb_ab > net_bb_ba THEN 'b' WHEN imp_ab >= imp_ba THEN 'a' ELSE 'b' END"""
+
+
+@query()
+def oriented_features(spark: SparkSession, d: str) -> DataFrame:
+    """Who gives to whom in a pair-hand, by the flow of money, else by gifts, the result and the impact; and every directional
+    feature as the greater and lesser of both and as the giver's and the taker's."""
+    rows = Q.pair_hand_engine(spark, d).withColumn("donor", F.expr(_DONOR))
+    names = [c[:-3] for c in rows.columns if c.endswith("_ab")]
+    from_a = F.col("donor") == "a"
+    ab, ba = (lambda c: F.col(f"{c}_ab")), (lambda c: F.col(f"{c}_ba"))
+    sides = {"max": lambda c: F.greatest(ab(c), ba(c)), "min": lambda c: F.least(ab(c), ba(c)), "donor": lambda c: F.when(from_a, ab(c)).otherwise(ba(c)), "receiver": lambda c: F.when(from_a, ba(c)).otherwise(ab(c))}
+    return rows.select("hand_idx", "a", "b", "donor", *(f(c).alias(f"{c}_{n}") for c in names for n, f in sides.items()))
+
+
+METRICS = [
+    "net_bb_ab", "net_bb_ba", "pot_bb", "face_ab", "face_ba", "fold_pre_ab", "fold_pre_ba", "fold_post_ab", "fold_post_ba", "call_post_ab", "call_post_ba", "raise_post_ab", "raise_post_ba", "minpa_ab", "minpa_ba", "aggpost_ab", "aggpost_ba",
+    "tf_facing", "both_streets",
+]
+
+
+@query(Q._PH + " SELECT hand_idx, a, b, count(*) OVER (PARTITION BY a, b) AS shared, " + ", ".join(f"round((rank() OVER (PARTITION BY a, b ORDER BY round({m}, 6)) + (count(*) OVER (PARTITION BY a, b, round({m}, 6)) - 1) / 2) / count(*) OVER (PARTITION BY a, b), 6) AS {m}_place, rank() OVER (PARTITION BY a, b ORDER BY round({m}, 6) DESC) - 1 AS {m}_better" for m in METRICS) + " FROM ph")
+def pair_metric_context(spark: SparkSession, d: str) -> DataFrame:
+    """Where a hand stands among its pair's by 19 metrics: its place from below, equal values sharing the mean, and how many are
+    greater."""
+    w = Window.partitionBy("a", "b")
+    rows = Q.paired(spark, d).select("hand_idx", "a", "b", *(F.round(m, 6).alias(m) for m in METRICS))
+    n = F.count(F.lit(1)).over(w)
+    place = lambda m: R6(ranking.average_rank(F.col(m), "a", "b") / n).alias(f"{m}_place")
+    return rows.select("hand_idx", "a", "b", n.alias("shared"), *(c for m in METRICS for c in (place(m), (F.rank().over(w.orderBy(F.col(m).desc())) - 1).alias(f"{m}_better"))))
+
+
+#: Contexts of a player's choices: which steps, and what counts as the choice.
+CONTEXTS = {"fold_early": ("street = 0 and to_call > 0", "isfold"), "fold_late": ("street > 0 and to_call > 0", "isfold"), "bet": ("to_call = 0 and street > 0", "aggr")}
+
+
+def choices(spark: SparkSession, d: str) -> DataFrame:
+    """(hand_idx, player_idx, phase, context, chosen, street, k, offset): steps by context with the population's logit of the state."""
+    k = P.staged(P.by_hand(table(spark, d, "actions").filter(Q.is_step()), ["action_no"], P.STEP)).join(hands(spark, d).select("hand_idx", "phase"), "hand_idx")
+    found = F.array_compact(F.array(*(F.expr(f"case when {w} then named_struct('context', '{c}', 'chosen', cast({t} as int)) end") for c, (w, t) in CONTEXTS.items())))
+    rows = k.select("hand_idx", "player_idx", "phase", "street", F.least("nr", F.lit(3)).cast("int").alias("k"), F.explode(found).alias("c")).select("*", "c.*").drop("c")
+    p = rows.groupBy("context", "street", "k").agg(F.avg("chosen").alias("p"))
+    logit = F.ln(F.greatest(F.col("p"), F.lit(1e-4)) / F.greatest(1 - F.col("p"), F.lit(1e-4)))
+    return rows.join(F.broadcast(p.select("context", "street", "k", F.round(logit, 6).alias("offset"))), ["context", "street", "k"])  # at most 48 cells
+
+
+@query()
+def player_context_logits(spark: SparkSession, d: str) -> DataFrame:
+    """A ridge logit for every player in each of three contexts, offset by the population's rate in the same state."""
+    rows = choices(spark, d).withColumn("who", F.concat_ws("|", "player_idx", "context"))
+    fits = models.entity_logits(rows, "who", "chosen", "offset", ["street", "k"])
+    part = F.split("who", "[|]")
+    return fits.select(part[0].cast("int").alias("player_idx"), part[1].alias("context"), "n", "beta")
+
+
+@query()
+def cross_phase_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Surprise of a player's choices in a hand under the logit that was fitted to his other phase: sum and greatest."""
+    rows = choices(spark, d).filter("phase is not null").withColumn("who", F.concat_ws("|", "player_idx", "context", "phase"))
+    fits = models.entity_logits(rows, "who", "chosen", "offset", ["street", "k"]).select("who", "beta")
+    other = rows.withColumn("who", F.concat_ws("|", "player_idx", "context", (1 - F.col("phase")).cast("tinyint"))).join(fits, "who")
+    b = lambda i: F.col("beta")[i]
+    p = 1 / (1 + F.exp(-(b(0) + b(1) * F.col("street") + b(2) * F.col("k") + F.col("offset"))))
+    p = F.least(F.greatest(F.when(F.col("chosen") == 1, p).otherwise(1 - p), F.lit(1e-6)), F.lit(1.0))
+    return other.withColumn("s", -F.ln(p)).groupBy("hand_idx", "player_idx").agg(F.sum("s").alias("total"), F.max("s").alias("most"))

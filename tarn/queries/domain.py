@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import baseline as B
 from tarn.operators import cards, graph, listing, metrics, models, ordered, ranking, shaping
+from tarn.operators.skew import with_group
 from tarn.plans.lineage import cut
 from tarn.queries.base import ACTIONS, HANDS, PAIRS, SEATS, actions, hands, pair_stats, seats
 from tarn.queries.relational import R6, facing
@@ -270,8 +271,8 @@ def anomaly_scores(spark: SparkSession, d: str) -> DataFrame:
 def with_without_lift(spark: SparkSession, d: str) -> DataFrame:
     """Smoothed log ratio of the rate with the partner and without."""
     w = pair_stats(spark, d).groupBy("a", "b").agg(F.sum("flow").alias("f"), F.sum("n").alias("n"))
-    total = lambda c: F.sum(c).over(Window.partitionBy("a"))
-    r = ((F.col("f") + 1.0) / (F.col("n") + 10.0)) / ((total("f") - F.col("f") + 1.0) / (total("n") - F.col("n") + 10.0))
+    w = with_group(w, ["a"], ["b"], tf=F.sum("f"), tn=F.sum("n"))
+    r = ((F.col("f") + 1.0) / (F.col("n") + 10.0)) / ((F.col("tf") - F.col("f") + 1.0) / (F.col("tn") - F.col("n") + 10.0))
     return w.select("a", "b", R6(F.ln(r)).alias("lift"))
 
 
