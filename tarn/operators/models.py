@@ -76,10 +76,14 @@ def classifier(kind: str, label: str, weight: str | None, seed: int = 42):
 def cross_fit(df: DataFrame, features: list[str], fold: str, folds: int, label: str, kind: str = "logistic", weight: str | None = None, seeds: tuple[int, ...] = (42,)) -> DataFrame:
     """Adds `probability` (array by class): each row scored by a model fitted on the other folds, the mean over seeds; medians and
     scales are of the other folds too. Folds are given, so that related rows can share one. Rows without a label are scored,
-    but no model is fitted on them."""
+    but no model is fitted on them; a fold whose other folds have no labelled row gets null."""
     out = None
     for k in range(folds):
         train, test = df.filter((F.col(fold) != k) & F.col(label).isNotNull()), df.filter(F.col(fold) == k)
+        if not train.take(1):  # no model, no score
+            none = test.withColumn("probability", F.lit(None).cast("array<double>"))
+            out = none if out is None else out.unionByName(none)
+            continue
         ready = prepared(train, features)
         train, scored = ready(train), ready(test)
         for i, seed in enumerate(seeds):
@@ -118,7 +122,7 @@ def nested_cross_fit(df: DataFrame, features: list[str], outer: str, inner: str,
     """Two stages: a second model adds the first one's score to the features. For each outer fold, the first stage is
     cross-fitted over inner folds of the other outer folds and, for the held-out rows, fitted on all of those."""
     out = None
-    first_score = lambda d: d.withColumn("__s", F.get("probability", F.lit(1))).drop("probability")
+    first_score = lambda d: d.withColumn("__s", F.coalesce(F.get("probability", F.lit(1)), F.lit(0.5))).drop("probability")
     for k in range(folds):
         train, test = df.filter((F.col(outer) != k) & F.col(label).isNotNull()), df.filter(F.col(outer) == k)
         first = first_score(cross_fit(train, features, inner, folds, label, kind, weight))
@@ -129,7 +133,9 @@ def nested_cross_fit(df: DataFrame, features: list[str], outer: str, inner: str,
 
 
 def scored_by(train: DataFrame, test: DataFrame, features: list[str], label: str, kind: str, weight: str | None = None, seed: int = 42) -> DataFrame:
-    """test with the `probability` of one model fitted on train."""
+    """test with the `probability` of one model fitted on train; null if train has no labelled row."""
+    if not train.filter(F.col(label).isNotNull()).take(1):
+        return test.withColumn("probability", F.lit(None).cast("array<double>"))
     ready = prepared(train, features)
     model = classifier(kind, label, weight, seed).fit(ready(train.filter(F.col(label).isNotNull()))).setPredictionCol("").setRawPredictionCol("__r").setProbabilityCol("__p")
     return model.transform(ready(test)).withColumn("probability", vector_to_array("__p")).drop("__r", "__p", "features")

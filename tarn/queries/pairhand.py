@@ -109,11 +109,11 @@ _FLAGS = ", fl AS (SELECT a, b, count(*) AS n, " + ", ".join([f"sum(CASE WHEN {e
 _BASE = "bs AS (SELECT " + ", ".join(f"sum(c_{k})::DOUBLE / sum(n) AS p_{k}" for k in P.flags()) + " FROM fl)"
 
 
-@query(_PH + _FLAGS + _BASE + " SELECT a, b, n, " + ", ".join(f"round({e}, 5) AS {c}" for c, e in P.signature_columns().items()) + " FROM fl, bs")
+@query(_PH + _FLAGS + _BASE + " SELECT a, b, n, " + ", ".join(f"round({e}, 7) AS {c}" for c, e in P.signature_columns().items()) + " FROM fl, bs")
 def pair_signature_table(spark: SparkSession, d: str) -> DataFrame:
     """Rates, binomial z and asymmetries of the signature flags for every pair."""
     s = P.pair_signatures(paired(spark, d), ["a", "b"])
-    return s.select("a", "b", "n", *(F.round(c, 5).alias(c) for c in P.signature_columns()))
+    return s.select("a", "b", "n", *(F.round(c, 7).alias(c) for c in P.signature_columns()))
 
 
 @query(SEATED + " SELECT cls, CAST(nr AS INTEGER) AS nr, CAST(pos AS INTEGER) AS pos, CAST(nc AS INTEGER) AS nc, n, round(p_aggr, 6) AS p_aggr, round(p_fold, 6) AS p_fold, round(p_call, 6) AS p_call FROM rates")
@@ -253,5 +253,5 @@ def luck_free_impact(spark: SparkSession, d: str) -> DataFrame:
     player's own share loses what others gain, so the impacts of a step add up to 0 over the seats."""
     h = replayed(spark, d).select("hand_idx", "bb", "seats", F.explode("acts").alias("a")).select("*", F.explode("seats").alias("s"))
     moved = "((coalesce(get(a.eqp, s.i), 0) - coalesce(get(a.eq, s.i), 0)) * a.pot_before + coalesce(get(a.eqp, s.i), 0) * a.amount - case when a.player_idx = s.p then a.amount else 0 end) / bb"
-    rows = h.filter("exists(a.eq, e -> e is not null) and a.amount is not null and a.pot_before is not null").select("hand_idx", F.expr("a.player_idx").alias("actor"), F.expr("s.p").alias("player_idx"), F.expr(moved).alias("v"))
+    rows = h.filter("exists(a.eq, e -> e is not null) and exists(seats, q -> q.p = a.player_idx) and a.amount is not null and a.pot_before is not null").select("hand_idx", F.expr("a.player_idx").alias("actor"), F.expr("s.p").alias("player_idx"), F.expr(moved).alias("v"))
     return rows.groupBy("hand_idx", "actor", "player_idx").agg(F.sum("v").alias("impact"))
