@@ -8,6 +8,7 @@ of tarn.operators.events, which spread a table over tasks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -182,6 +183,67 @@ def mined(batch: pa.Table) -> pa.Table:
 MINED = "window string, table_idx int, a int, b int, k6 bigint, k10 bigint, k16 bigint, g_pos double, g_top double, g_max double, g_sym double"
 
 
+#: Flags of events.tail_flags() in the order of their numbers.
+FLAGS = list(E.tail_flags())
+#: pair: its row; else the window, or `redrawn`, in which the pair has the flag of the event.
+FLAGGED = "table_idx int, a int, b int, kind string, event string, flag string"
+
+
+def _tails(b: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """Where each of FLAGS holds, in the pairs of both_ways()."""
+    lesser, greater = np.minimum(b["g_ab"], b["g_ba"]), np.maximum(b["g_ab"], b["g_ba"])
+    ab, ba, rows, both = b["rt_ab"] & b["ct_ab"], b["rt_ba"] & b["ct_ba"], b["rt_ab"] & b["rt_ba"], b["g_ab"] + b["g_ba"]
+    out = [(ab & (b["g_ab"] >= k)) | (ba & (b["g_ba"] >= k)) for k in E.LEVELS["dirtop"]]
+    out += [rows & (lesser >= k) for k in E.LEVELS["symtop"]] + [greater >= k for k in E.LEVELS["gmax"]]
+    return [o & b["there"] for o in out + [both <= -k for k in E.LEVELS["deficit"]]]
+
+
+def _drawn(heads: list[bytes], event: str, rates: np.ndarray, seed: str) -> np.ndarray:
+    """The draws of events.redrawn() for cells whose keys begin with heads."""
+    tail = f"|{event}|{seed}".encode()
+    digits = b"".join([md5(h + tail).digest()[:7] for h in heads])
+    high = np.frombuffer(digits, np.uint8).reshape(-1, 7).astype(np.int64)
+    number = sum(high[:, i] << (8 * (6 - i)) for i in range(7)) >> 4  # 13 hex digits
+    return B.poisson_quantile.func(pd.Series(number / float(16**13)), pd.Series(rates)).to_numpy()
+
+
+def flagged(batch: pa.Table, seed: str = "event null") -> pa.Table:
+    """Pairs of the first window, their flags in every window, and those after events.redrawn() in the first window."""
+    s = Scored(batch)
+    names = np.array(list(E.WINDOWS))
+    first, pairs = s.window == 0, (s.window[s.up] == 0)
+    found, kinds, events, flags = [], [], [], []
+
+    def add(at: np.ndarray, kind: np.ndarray, event: str | None, flag: str | None) -> None:
+        found.append(at)
+        kinds.extend(kind)
+        events.extend([event] * len(at))
+        flags.extend([flag] * len(at))
+
+    heads = np.array([f"first|{t}|{x}|{y}".encode() for t, x, y in zip(s.table[first].tolist(), s.x[first].tolist(), s.y[first].tolist())], object)
+    some = np.zeros(len(s.up), bool)
+    for i, event in enumerate(s.events if s.size else []):
+        opp, hit = s.opp(i), s.hit(i)
+        expected, *seen = s.scores(opp, hit)
+        b = s.both_ways(opp, *seen)
+        some |= b["there"] & pairs
+        for flag, at in zip(FLAGS, _tails(b)):
+            at = np.flatnonzero(at)
+            add(at, names[s.window[s.up[at]]], event, flag)
+        cells = first & (opp > 0)
+        drawn = np.zeros_like(hit)
+        drawn[cells] = np.minimum(_drawn(heads[opp[first] > 0], event, expected[cells], seed), opp[cells])
+        only = np.where(cells, opp, 0)
+        for flag, at in zip(FLAGS, _tails(s.both_ways(only, *s.scores(only, drawn)[1:]))):
+            at = np.flatnonzero(at)
+            add(at, np.full(len(at), "redrawn"), event, flag)
+    at = np.flatnonzero(some)
+    add(at, np.full(len(at), "pair"), None, None)
+    row = np.concatenate(found)
+    up = s.up[row]
+    return pa.table({"table_idx": s.table[up], "a": s.x[up], "b": s.y[up], "kind": pa.array(kinds, pa.string()), "event": pa.array(events, pa.string()), "flag": pa.array(flags, pa.string())})
+
+
 def hot_tables(hands: DataFrame, least: int | None = None) -> list[int]:
     """Tables of more than `least` hands; there are fewer than hands / least."""
     sizes = hands.filter("table_idx is not null").groupBy("table_idx").count().filter(F.col("count") > (HOT_HANDS if least is None else least))

@@ -31,3 +31,11 @@ def test_large_tables_are_spread_and_score_the_same(spark, data, monkeypatch):
     monkeypatch.setattr(eventarrays, "TOGETHER", 1)
     hot = eventarrays.hot_tables(Q.whole_hands(spark, data))
     assert 0 < len(hot) < len(sizes) and rows(Q.multi_event_scores(spark, data)) == whole and len(whole) > 100
+
+
+def test_excess_is_that_of_the_operators_that_spread(spark, data, monkeypatch):
+    plain = Q.event_excess(spark, data)
+    assert "Window" not in plain._jdf.queryExecution().executedPlan().toString()
+    whole = rows(plain)
+    monkeypatch.setattr(eventarrays, "HOT_HANDS", 0)
+    assert rows(Q.event_excess(spark, data)) == whole and len(whole) > 30
