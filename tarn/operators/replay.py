@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,26 +15,124 @@ from tarn.operators import cards
 
 #: Cards of the board by street.
 KNOWN = (0, 3, 4, 5)
-#: Hands valued together, by street, so that a batch stays near a million values.
-TOGETHER = (64, 256, 2_000, 20_000)
+#: Values of seats over runs of the board that are worked out together.
+TOGETHER = 1_000_000
 _MATRIX = ArrayType(ArrayType(DoubleType()))
 
 
-def _runs(holes: list, boards: list, streets: list, ids: list, simulations: int) -> list[dict[int, np.ndarray]]:
-    """For every hand and street it came to, the values of all seats over the runs of the board."""
-    out: list[dict[int, np.ndarray]] = [{} for _ in holes]
-    for street, known in enumerate(KNOWN):
-        alike: dict[tuple, list[int]] = {}
-        for i, (own, board) in enumerate(zip(holes, boards)):
-            if street in streets[i] and len(board) >= known and len(own):
-                alike.setdefault((len(own), int((own >= 0).sum())), []).append(i)
-        for members in alike.values():
-            for at in range(0, len(members), TOGETHER[street]):
-                some = members[at : at + TOGETHER[street]]
-                board = np.array([boards[i][:known] for i in some], np.int64).reshape(len(some), known)
-                runs = cards.run_values(np.array([holes[i] for i in some]), board, known, np.array([ids[i] for i in some], np.int64), simulations)
-                for i, run in zip(some, runs):
-                    out[i][street] = run
+def _sums(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The three sums over the last axis of cards."""
+    return tuple(table[of].sum(-1, dtype=table.dtype) for table in (cards.FACE_SUM, cards.SHORT_SUITS, cards.BIT_SUM))
+
+
+def _drawn(deck: np.ndarray, simulations: int, seed: int) -> np.ndarray:
+    """Seeded boards: the first five cards of so many shuffles, in no order."""
+    u = np.random.default_rng(seed).random((simulations, len(deck)))
+    at = np.flatnonzero(u <= np.partition(u, 4, axis=1)[:, 4:5]) % len(deck)
+    at = at if len(at) == 5 * simulations else np.argsort(u, axis=1)[:, :5]  # equal draws
+    return deck[at.reshape(simulations, 5)]
+
+
+class _Street:
+    """What the hands of a batch ask of one street: shares of the pot by who is in, and shares against each other alone."""
+
+    def __init__(self, known: int):
+        self.known, self.asked, self.shares, self.alone = known, {}, {}, {}
+
+    def ask(self, hand: int, live: int) -> None:
+        self.asked.setdefault(hand, []).append(live)
+
+    def answer(self, holes: list, boards: list, ids: list, simulations: int) -> None:
+        alike: dict[int, list[int]] = {}
+        for i in self.asked:
+            if len(boards[i]) >= self.known and len(holes[i]):
+                alike.setdefault(int((holes[i] >= 0).sum()), []).append(i)
+        for held, members in alike.items():
+            runs = simulations if not self.known else math.comb(52 - held - self.known, 5 - self.known)
+            step = max(1, TOGETHER // (6 * max(runs, 1)))
+            for at in range(0, len(members), step):
+                self._some(members[at : at + step], holes, boards, ids, simulations)
+
+    def _some(self, members: list[int], holes: list, boards: list, ids: list, simulations: int) -> None:
+        free = np.ones((len(members), 52), bool)
+        for j, i in enumerate(members):
+            free[j, holes[i][holes[i] >= 0]] = False
+            free[j, boards[i][: self.known]] = False
+        deck = np.nonzero(free)[1].reshape(len(members), -1)
+        if self.known:
+            every = np.array(list(combinations(range(deck.shape[1]), 5 - self.known)), np.int64)
+            there = _sums(np.array([boards[i][: self.known] for i in members]))
+            # A card's sums are picked once a hand; two or fewer cards are to come, as a hand has three on the board.
+            come = [sum(table[deck][:, every[:, c]] for c in range(every.shape[1])) if every.shape[1] else table.dtype.type(0) for table in (cards.FACE_SUM, cards.SHORT_SUITS, cards.BIT_SUM)]
+            board = tuple(t[:, None] + c for t, c in zip(there, come))
+        else:
+            board = _sums(np.stack([_drawn(d, simulations, int(ids[i])) for d, i in zip(deck, members)]))
+        # One row for each seat that is in at the street's first step.
+        rows, seats = [], []
+        begin = {}
+        for j, i in enumerate(members):
+            known = (holes[i] >= 0).all(1)
+            in_ = [s for s in range(len(known)) if known[s] and self.asked[i][0] >> s & 1]
+            begin[i] = {s: len(rows) + at for at, s in enumerate(in_)}
+            rows += [j] * len(in_)
+            seats += [holes[i][s] for s in in_]
+        if not rows:
+            return
+        value = cards.face_values(tuple(b[rows] for b in board), tuple(s[:, None] for s in _sums(np.array(seats))), 7)
+        runs = value.shape[1]
+        pairs = [(i, x, y) for i in members for x, y in combinations(begin[i], 2)]
+        if pairs:
+            left, right = (value[[begin[p[0]][p[k]] for p in pairs]] for k in (1, 2))
+            more, same = np.count_nonzero(left > right, axis=1) / runs, np.count_nonzero(left == right, axis=1) / runs
+            for (i, x, y), m, e in zip(pairs, more.tolist(), same.tolist()):
+                self.alone[i, x, y], self.alone[i, y, x] = m + 0.5 * e, 1 - m - e + 0.5 * e
+        for i in members:
+            self.alone |= {(i, x, x): 0.5 for x in begin[i]}
+        sized: dict[int, list] = {}
+        for i in members:
+            known = begin[i]
+            for live in dict.fromkeys(self.asked[i]):
+                in_ = [s for s in range(len(holes[i])) if live >> s & 1]
+                if in_ and all(s in known for s in in_):
+                    sized.setdefault(len(in_), []).append((i, live, in_, [known[s] for s in in_]))
+        for k, asked in sized.items():
+            for at in range(0, len(asked), step := max(1, TOGETHER // (k * runs))):
+                some = asked[at : at + step]
+                own = value[np.array([a[3] for a in some])]  # hands, seats, runs
+                best = own == own.max(1, keepdims=True)
+                many = best.sum(1, dtype=np.int8)
+                if (many > 1).any():
+                    share = np.einsum("hkr,hr->hk", best.astype(np.float64), 1.0 / many) / runs
+                else:
+                    share = np.count_nonzero(best, axis=2) / runs
+                for (i, live, in_, _), v in zip(some, share.tolist()):
+                    full = [None] * len(holes[i])
+                    for s, e in zip(in_, v):
+                        full[s] = e
+                    self.shares[i, live] = full
+
+
+def _strengths(asked: list[tuple[int, int]], holes: list, boards: list, known: int) -> dict[tuple[int, int], float]:
+    """cards.strengths() of seats (hand, seat) on their hands' boards of so many cards."""
+    pairs = cards._two_cards()
+    number, touch = np.zeros((52, 52), np.int64), np.zeros((52, len(pairs)), bool)
+    for c in (0, 1):
+        number[pairs[:, c], pairs[:, 1 - c]] = np.arange(len(pairs))
+        touch[pairs[:, c], np.arange(len(pairs))] = True
+    two, out = _sums(pairs), {}
+    for at in range(0, len(asked), 500):
+        some = asked[at : at + 500]
+        hands = list(dict.fromkeys(i for i, _ in some))
+        row = {i: j for j, i in enumerate(hands)}
+        board = np.array([boards[i][:known] for i in hands])
+        value = cards.face_values(tuple(s[:, None] for s in _sums(board)), tuple(s[None, :] for s in two), 2 + known)
+        value[touch[board].any(1)] = -1
+        own = np.array([holes[i][s] for i, s in some])
+        every = value[[row[i] for i, _ in some]]
+        mine = every[np.arange(len(some)), number[own[:, 0], own[:, 1]]][:, None]
+        other = (every >= 0) & ~touch[own].any(1)
+        beaten, even = np.count_nonzero((every < mine) & other, axis=1), np.count_nonzero((every == mine) & other, axis=1)
+        out |= dict(zip(some, ((beaten + 0.5 * even) / np.count_nonzero(other, axis=1)).tolist()))
     return out
 
 
@@ -41,56 +142,38 @@ def _played(cards_: np.ndarray, board: np.ndarray) -> bool:
     return len(np.unique(known)) == len(known) and bool(((cards_ >= 0).all(1) | (cards_ < 0).all(1)).all())
 
 
-def _equities(run: np.ndarray, live: np.ndarray, known: np.ndarray) -> list[float | None]:
-    """Shares of the live seats, null for others and where a live seat's cards are not known."""
-    out: list[float | None] = [None] * len(live)
-    if not (live & known).any() or (live & ~known).any():
-        return out
-    for seat, share in zip(np.flatnonzero(live), cards.shares(run, live)):
-        out[seat] = float(share)
-    return out
-
-
 @F.pandas_udf(StructType([StructField("eq", _MATRIX), StructField("eqp", _MATRIX), StructField("hs", ArrayType(DoubleType())), StructField("hu", _MATRIX)]))
 def _replay(ids: pd.Series, holes: pd.Series, board: pd.Series, street: pd.Series, seat: pd.Series, fold: pd.Series, simulations: pd.Series) -> pd.DataFrame:
     own = [np.asarray(h, np.int64).reshape(-1, 2) for h in holes]
     boards = [np.asarray([] if b is None else b, np.int64) for b in board]
-    streets = [set(np.asarray(s).tolist()) for s in street]
     for i, (h, b) in enumerate(zip(own, boards)):
         if not _played(h, b):
             own[i] = np.full_like(h, -1)
-    every = _runs(own, boards, streets, ids.tolist(), int(simulations.iloc[0]) if len(simulations) else 0)
+    asks, strong, lives = [_Street(k) for k in KNOWN], [{} for _ in KNOWN], []
+    for i, (ts, ss, fs) in enumerate(zip(street, seat, fold)):
+        live, seen = (1 << len(own[i])) - 1, []
+        known = (own[i] >= 0).all(1).tolist()
+        for t, s, f in zip(ts.tolist(), ss.tolist(), fs.tolist()):
+            after = live & ~(1 << s) if f and s >= 0 else live
+            asks[t].ask(i, live)
+            asks[t].ask(i, after)
+            if t > 0 and s >= 0 and known[s] and len(boards[i]) >= KNOWN[t]:
+                strong[t][i, s] = None
+            seen.append((t, s, live, after))
+            live = after
+        lives.append(seen)
+    ran = int(simulations.iloc[0]) if len(simulations) else 0
+    for t, a in enumerate(asks):
+        a.answer(own, boards, ids.tolist(), ran)
+        strong[t] = _strengths(list(strong[t]), own, boards, KNOWN[t])
     rows = []
-    for i, runs in enumerate(every):
-        known = (own[i] >= 0).all(1)
-        live, cache, strong = np.ones(len(known), bool), {}, {}
-        before, after, hs, hu = [], [], [], [None] * 4
-        none = [None] * len(known)
-        for t, s, f in zip(street[i], seat[i], fold[i]):
-            run = runs.get(t)
-            if run is not None and hu[t] is None:
-                wins = (run[:, :, None] > run[:, None, :]).mean(0) + 0.5 * (run[:, :, None] == run[:, None, :]).mean(0)
-                there = (live & known)[:, None] & (live & known)[None, :]
-                hu[t] = [float(w) if m else None for w, m in zip(wins.ravel(), there.ravel())]
-
-            def of(mask):
-                key = (t, mask.tobytes())
-                if key not in cache:
-                    cache[key] = none if run is None else _equities(run, mask, known)
-                return cache[key]
-
-            before.append(of(live))
-            if run is not None and t > 0 and s >= 0 and known[s]:
-                if (t, s) not in strong:
-                    strong[t, s] = float(cards.strengths(own[i][s : s + 1], boards[i][: KNOWN[t]])[0])
-                hs.append(strong[t, s])
-            else:
-                hs.append(None)
-            if f and s >= 0:
-                live = live.copy()
-                live[s] = False
-            after.append(of(live))
-        rows.append((before, after, hs, hu))
+    for i, seen in enumerate(lives):
+        n = len(own[i])
+        none = [None] * n
+        before = [asks[t].shares.get((i, live), none) for t, _, live, _ in seen]
+        after = [asks[t].shares.get((i, live), none) for t, _, _, live in seen]
+        hu = [[a.alone.get((i, x, y)) for x in range(n) for y in range(n)] if i in a.asked and n and len(boards[i]) >= a.known else None for a in asks]
+        rows.append((before, after, [strong[t].get((i, s)) for t, s, _, _ in seen], hu))
     return pd.DataFrame(rows, columns=["eq", "eqp", "hs", "hu"])
 
 

@@ -98,3 +98,26 @@ def test_unknown_cards_and_empty_logs(spark):
     r = replay.replay(h).first()
     assert all(e is None for a in r["acts"] for e in a["eq"])
     assert pairhand.directed(pairhand.meetings(log(spark).limit(0), pairhand.population_rates(log(spark)))).count() == 0
+
+
+def test_batched_shares_are_those_of_every_hand_alone():
+    r, hands_ = np.random.default_rng(5), []
+    for i in range(12):
+        deck = r.permutation(52).astype(np.int64)
+        hands_.append((deck[:8].reshape(4, 2), deck[8:13]))
+    hands_[3][0][1] = -1
+    holes, boards = [h for h, _ in hands_], [b for _, b in hands_]
+    for known in replay.KNOWN:
+        street = replay._Street(known)
+        for i in range(12):
+            for live in (0b1111, 0b1101, 0b0101):
+                street.ask(i, live)
+        street.answer(holes, boards, list(range(12)), 50)
+        for i in range(12):
+            run = cards.run_values(holes[i][None], boards[i][None, :known], known, np.array([i]), 50)[0]
+            assert (i, 0b1111) not in street.shares if i == 3 else np.allclose(street.shares[i, 0b1111], cards.shares(run, np.ones(4, bool)))
+            assert np.allclose([street.shares[i, 0b0101][s] for s in (0, 2)], cards.shares(run, np.array([True, False, True, False])))
+            assert abs(street.alone[i, 0, 2] - ((run[:, 0] > run[:, 2]).mean() + 0.5 * (run[:, 0] == run[:, 2]).mean())) < 1e-9
+        if known:
+            got = replay._strengths([(i, s) for i in range(12) for s in (0, 3)], holes, boards, known)
+            assert all(abs(v - cards.strengths(holes[i][s : s + 1], boards[i][:known])[0]) < 1e-12 for (i, s), v in got.items())
