@@ -83,9 +83,10 @@ class _Street:
         pairs = [(i, x, y) for i in members for x, y in combinations(begin[i], 2)]
         if pairs:
             left, right = (value[[begin[p[0]][p[k]] for p in pairs]] for k in (1, 2))
-            more, same = np.count_nonzero(left > right, axis=1) / runs, np.count_nonzero(left == right, axis=1) / runs
-            for (i, x, y), m, e in zip(pairs, more.tolist(), same.tolist()):
-                self.alone[i, x, y], self.alone[i, y, x] = m + 0.5 * e, 1 - m - e + 0.5 * e
+            more, same = np.count_nonzero(left > right, axis=1), np.count_nonzero(left == right, axis=1)
+            less, more, same = (runs - more - same) / runs, more / runs, 0.5 * (same / runs)
+            for (i, x, y), m, l in zip(pairs, (more + same).tolist(), (less + same).tolist()):
+                self.alone[i, x, y], self.alone[i, y, x] = m, l
         for i in members:
             self.alone |= {(i, x, x): 0.5 for x in begin[i]}
         sized: dict[int, list] = {}
@@ -146,6 +147,11 @@ def _played(cards_: np.ndarray, board: np.ndarray) -> bool:
 def _replay(ids: pd.Series, holes: pd.Series, board: pd.Series, street: pd.Series, seat: pd.Series, fold: pd.Series, simulations: pd.Series) -> pd.DataFrame:
     own = [np.asarray(h, np.int64).reshape(-1, 2) for h in holes]
     boards = [np.asarray([] if b is None else b, np.int64) for b in board]
+    return pd.DataFrame(replayed(ids.tolist(), own, boards, street, seat, fold, int(simulations.iloc[0]) if len(simulations) else 0), columns=["eq", "eqp", "hs", "hu"])
+
+
+def replayed(ids: list, own: list, boards: list, street: list, seat: list, fold: list, simulations: int) -> list[tuple]:
+    """(eq, eqp, hs, hu) of hands, as in replay()."""
     for i, (h, b) in enumerate(zip(own, boards)):
         if not _played(h, b):
             own[i] = np.full_like(h, -1)
@@ -162,9 +168,8 @@ def _replay(ids: pd.Series, holes: pd.Series, board: pd.Series, street: pd.Serie
             seen.append((t, s, live, after))
             live = after
         lives.append(seen)
-    ran = int(simulations.iloc[0]) if len(simulations) else 0
     for t, a in enumerate(asks):
-        a.answer(own, boards, ids.tolist(), ran)
+        a.answer(own, boards, ids, simulations)
         strong[t] = _strengths(list(strong[t]), own, boards, KNOWN[t])
     rows = []
     for i, seen in enumerate(lives):
@@ -174,7 +179,7 @@ def _replay(ids: pd.Series, holes: pd.Series, board: pd.Series, street: pd.Serie
         after = [asks[t].shares.get((i, live), none) for t, _, _, live in seen]
         hu = [[a.alone.get((i, x, y)) for x in range(n) for y in range(n)] if i in a.asked and n and len(boards[i]) >= a.known else None for a in asks]
         rows.append((before, after, [strong[t].get((i, s)) for t, s, _, _ in seen], hu))
-    return pd.DataFrame(rows, columns=["eq", "eqp", "hs", "hu"])
+    return rows
 
 
 def replay(h: DataFrame, simulations: int = 400) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from conftest import rows
 
-from tarn.operators import eventarrays, handarrays
+from tarn.operators import eventarrays, handarrays, pairhand
 from tarn.queries import pairhand as Q
 
 
@@ -39,3 +39,12 @@ def test_excess_is_that_of_the_operators_that_spread(spark, data, monkeypatch):
     whole = rows(plain)
     monkeypatch.setattr(eventarrays, "HOT_HANDS", 0)
     assert rows(Q.event_excess(spark, data)) == whole and len(whole) > 30
+
+
+def test_pairs_on_arrays_are_those_of_the_operators(spark, data):
+    engine = Q.pair_hand_engine(spark, data)
+    plan = engine._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Scan ExistingRDD" not in plan and "Generate" not in plan.split("MapInArrow")[0]
+    plain = pairhand.pairs(pairhand.directed(Q.met_open(spark, data), True), True)
+    assert engine.schema.simpleString() == plain.schema.simpleString()
+    assert rows(engine) == rows(plain)
