@@ -24,8 +24,9 @@ _INVERSE = {"=": "<>", "<>": "=", "<": ">=", "<=": ">", ">": "<=", ">=": "<"}
 
 @functools.cache
 def parse(sql: str) -> tuple:
-    """Syntax tree of a condition: AND, OR, NOT, comparisons, IN, BETWEEN, arithmetic, names and numbers."""
-    tokens = re.findall(r"\d+\.\d+|\d+|\w+|<>|<=|>=|[-+*%<>=(),]", sql)
+    """Syntax tree of a condition or value: AND, OR, NOT, comparisons, IN, BETWEEN, IS NULL, arithmetic, CASE, CAST to int or
+    double, coalesce, greatest, least, names and numbers."""
+    tokens = re.findall(r"\d+\.\d+|\d+|\w+|<>|<=|>=|[-+*/%<>=(),]", sql)
     at = 0
 
     def peek() -> str:
@@ -72,13 +73,18 @@ def parse(sql: str) -> tuple:
             low = added()
             take("AND")
             return ("and", ("compare", ">=", left, low), ("compare", "<=", left, added()))
+        if peek() == "IS":
+            take()
+            known = peek() == "NOT" and bool(take())
+            take("NULL")
+            return ("not", ("null", left)) if known else ("null", left)
         return left
 
     def added() -> tuple:
         return chain(multiplied, {"+": "+", "-": "-"})
 
     def multiplied() -> tuple:
-        return chain(single, {"*": "*", "%": "%"})
+        return chain(single, {"*": "*", "/": "/", "%": "%"})
 
     def single() -> tuple:
         token = take()
@@ -88,6 +94,30 @@ def parse(sql: str) -> tuple:
             return inner
         if token == "-":
             return ("*", ("number", -1, 0), single())
+        if token.upper() == "CASE":
+            cases = []
+            while take("WHEN", "ELSE", "END").upper() == "WHEN":
+                when = either()
+                take("THEN")
+                cases.append((when, either()))
+            other = None
+            if tokens[at - 1].upper() == "ELSE":
+                other = either()
+                take("END")
+            return ("case", tuple(cases), other)
+        if token.upper() == "CAST":
+            take("(")
+            inner = either()
+            take("AS")
+            kind = take("INT", "DOUBLE").upper()
+            take(")")
+            return ("cast", kind, inner)
+        if token.lower() in ("coalesce", "greatest", "least"):
+            take("(")
+            over = [either()]
+            while take(",", ")") == ",":
+                over.append(either())
+            return (token.lower(), *over)
         if token[0].isdigit():
             return ("number", int(token.replace(".", "")), len(token.partition(".")[2]))
         return ("truth", token.lower() == "true") if token.lower() in ("true", "false") else ("column", token)
@@ -120,6 +150,14 @@ class Frame:
 
     def _logic(self, node: tuple, wanted: bool):
         kind = node[0]
+        if kind == "null":
+            filled = self.known(node[1])
+            return np.logical_not(filled) if isinstance(filled, np.ndarray) and wanted else filled if isinstance(filled, np.ndarray) else filled is not wanted
+        if kind == "coalesce":  # of a condition and true or false
+            if node[2] != ("truth", wanted):
+                return self.logic(node[1], wanted)
+            found = self.logic(node[1], not wanted)
+            return ~found if isinstance(found, np.ndarray) else not found
         if kind == "truth":
             return node[1] == wanted
         if kind == "not":
@@ -159,9 +197,15 @@ class Frame:
             return (*self.columns.get(node[1], (None, False)), 0)
         if node[0] == "number":
             return node[1], True, node[2]
+        if node[0] in ("case", "cast", "coalesce", "greatest", "least"):
+            return self.built(node)
         (v, f, s), (w, g, t) = self.number(node[1]), self.number(node[2])
         if f is False or g is False:
             return None, False, 0
+        if node[0] == "/":
+            if np.any((np.asarray(w) == 0) & f & g):
+                raise ZeroDivisionError(f"{node} divides by zero")
+            return np.where(f if g is True else g if f is True else f & g, v / 10**s, 0.0) / np.where(g, w / 10**t, 1.0), f if g is True else g if f is True else f & g, 0
         wide = lambda a: a.astype(np.int64) if isinstance(a, np.ndarray) and a.dtype.kind == "i" else a
         v, w, filled = wide(v), wide(w), f if g is True else g if f is True else f & g
         if node[0] == "*":
@@ -169,11 +213,57 @@ class Frame:
         v, w = v * 10 ** max(t - s, 0), w * 10 ** max(s - t, 0)
         return {"+": np.add, "-": np.subtract, "%": np.fmod}[node[0]](v, w), filled, max(s, t)
 
-
-def gathered(hands: DataFrame, seats: DataFrame, steps: DataFrame) -> DataFrame:
-    """Hands that have seats, with sets of their seats and steps as the log has them; in one exchange per table."""
+    def conditional(self, node: tuple) -> bool:
+        """Whether the node is a condition, not a number."""
+        if node[0] == "column":
+            return np.asarray(self.columns.get(node[1], (0, True))[0]).dtype == bool
+        return node[0] in ("and", "or", "not", "compare", "null", "truth") or (node[0] == "coalesce" and self.conditional(node[1]))
+
+    def known(self, node: tuple):
+        """Where the node is not null."""
+        if not self.conditional(node):
+            return self.number(node)[1]
+        true, false = self.logic(node, True), self.logic(node, False)
+        return True if true is True or false is True else true | false
+
+    def value(self, sql: str) -> tuple[np.ndarray, np.ndarray | bool]:
+        """Numbers that an expression has, and where there are some."""
+        v, filled, s = self.number(parse(sql))
+        v = np.zeros(self.size) if v is None else v / 10**s if s else v
+        return np.broadcast_to(np.asarray(v), self.size), filled if isinstance(filled, bool) else np.broadcast_to(filled, self.size)
+
+    def real(self, node: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """number() as arrays, without a scale."""
+        v, filled, s = self.number(node)
+        return np.asarray(0 if v is None else v / 10**s if s else v), np.asarray(filled)
+
+    def built(self, node: tuple) -> tuple:
+        """Numbers of CASE, CAST, coalesce, greatest and least, the last two without regard to nulls."""
+        if node[0] == "cast" and self.conditional(node[2]):
+            return np.asarray(self.logic(node[2], True)).astype(np.int32), self.known(node[2]), 0
+        if node[0] == "cast":
+            v, filled, s = self.number(node[2])
+            v = None if v is None else v / 10**s if s else v
+            return (None if v is None else np.asarray(v).astype(np.float64) if node[1] == "DOUBLE" else np.trunc(v).astype(np.int32)), filled, 0
+        if node[0] == "case":
+            out, filled = self.real(node[2]) if node[2] else (np.asarray(0), np.asarray(False))
+            for when, then in reversed(node[1]):
+                at, (v, f) = np.asarray(self.logic(when, True)), self.real(then)
+                out, filled = np.where(at, v, out), np.where(at, f, filled)
+            return out, filled, 0
+        out, filled = self.real(node[1])
+        for other in node[2:]:
+            v, f = self.real(other)
+            better = ~filled if node[0] == "coalesce" else f & (~filled | (v > out if node[0] == "greatest" else v < out))
+            out, filled = np.where(better, v, out), filled | f
+        return out, filled, 0
+
+
+def gathered(hands: DataFrame, seats: DataFrame, steps: DataFrame, seat: list[str] = SEAT, step: list[str] = STEP) -> DataFrame:
+    """Hands that have seats, with sets of their seats and steps as the log has them, or of some fields of these; in one exchange
+    per table."""
     sets = lambda df, key, columns, name: df.filter(f"hand_idx is not null and {key} is not null").groupBy("hand_idx").agg(F.collect_set(F.struct(key, *columns)).alias(name))
-    return hands.join(sets(seats, "player_idx", SEAT, "seats"), "hand_idx").join(sets(steps, "action_no", STEP, "acts"), "hand_idx", "left")
+    return hands.join(sets(seats, "player_idx", seat, "seats"), "hand_idx").join(sets(steps, "action_no", step, "acts"), "hand_idx", "left")
 
 
 def plain(column) -> tuple[np.ndarray, np.ndarray | bool]:

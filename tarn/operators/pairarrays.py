@@ -8,18 +8,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from tarn.operators import cards, pairhand, replay
-from tarn.operators.handarrays import Frame, Hands
+from tarn.operators import cards, handarrays, pairhand
+from tarn.operators.equityarrays import Equities
+from tarn.operators.handarrays import Frame, Hands, _before, plain, spread
 
 #: Hands replayed together.
 TOGETHER = 1_000
+#: Boards before the flop.
+SIMULATIONS = 400
 #: Cells of population rates: class, raises, place, callers.
 CELLS = (169, 4, 6, 3)
 _STEP = re.compile(r"(?:coalesce\()?(min|max)\(CASE WHEN (?!s THEN)(.*) THEN (?:coalesce\((\w+), ([\d.]+)\)|(\w+)) END\)(?:, (-?[\d.]+)\))?$")
@@ -66,8 +70,15 @@ def _slices(f: Callable[[pa.Table], pa.Table]) -> Callable:
     return run
 
 
-def rates(hands: DataFrame) -> np.ndarray:
-    """(3, cells): pairhand.population_rates() of gathered() hands: of raises, folds and calls."""
+def rates(hands: DataFrame, seats: DataFrame, steps: DataFrame) -> np.ndarray:
+    """(3, cells): pairhand.population_rates() of a log: of raises, folds and calls. Of later streets only the steps' street is
+    gathered."""
+    early = lambda c: F.when(F.coalesce("street", F.lit(0)) == 0, F.col(c)).alias(c)
+    fields = ["player_idx", "action", "amount", "to_call"]
+    log = handarrays.gathered(
+        hands.select("hand_idx", "button_seat", F.lit(1).alias("bb"), F.expr("cast(array() as array<tinyint>)").alias("board")), seats.select("hand_idx", "player_idx", "seat_no", "c1", "c2"),
+        steps.select("hand_idx", "action_no", "street", *map(early, fields)), ["seat_no", "c1", "c2"], ["street", *fields],
+    )
 
     def count(batch: pa.Table) -> pa.Table:
         h = Hands(batch)
@@ -79,7 +90,7 @@ def rates(hands: DataFrame) -> np.ndarray:
         some = np.flatnonzero(n[0])
         return pa.table({"cell": some, **{f"n{i}": v[some] for i, v in enumerate(n)}})
 
-    rows = hands.mapInArrow(_slices(count), "cell bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint").groupBy("cell").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(4)))
+    rows = log.mapInArrow(_slices(count), "cell bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint").groupBy("cell").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(4)))
     n = np.zeros((4, *CELLS))
     for r in rows.collect():  # at most 12,168 rows
         n[(slice(None), *np.unravel_index(r[0], CELLS))] = r[1:]
@@ -89,32 +100,26 @@ def rates(hands: DataFrame) -> np.ndarray:
     return out.reshape(3, -1)
 
 
-def _open(hands: Hands, batch: pa.Table, steps: Frame, pair: np.ndarray, a: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+def _boards(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(hand, card): known cards of the boards, padded with -1, and how many."""
+    column = batch.column("board").combine_chunks()
+    counts = np.diff(column.offsets.to_numpy()) * (1 if not column.null_count else column.is_valid().to_numpy(zero_copy_only=False))
+    (card, there), owner = plain(column.flatten()), np.repeat(np.arange(len(counts)), counts)
+    card, owner = (card, owner) if there is True else (card[there], owner[there])
+    held = np.bincount(owner, minlength=len(counts))
+    out = np.full((len(counts), max(5, int(held.max(initial=0)))), -1)
+    out[owner, spread(held)[1]] = card
+    return out, held
+
+
+def _open(hands: Hands, batch: pa.Table, steps: Frame, pair: np.ndarray, a: np.ndarray, x: np.ndarray, y: np.ndarray, strength: np.ndarray) -> None:
     """Adds to the steps what needs equities."""
-    hand, (c1, k1), (c2, k2) = hands.a["hand"][0], hands.s["c1"], hands.s["c2"]
-    dealt = np.stack([np.where(k1, c1, -1), np.where(k2, c2, -1)], 1).astype(np.int64)
-    cut = lambda v, counts: np.split(v, np.cumsum(counts)[:-1])
-    acts = np.bincount(hand, minlength=hands.size)
-    boards = [np.array([c for c in b or [] if c is not None], np.int64) for b in batch.column("board").to_pylist()]
-    seat = np.where(hands.actor >= 0, hands.place[hands.actor] if len(hands.place) else -1, -1)
-    ids = batch.column("hand_idx").to_pylist()
-    rows = replay.replayed(ids, cut(dealt, hands.n), boards, cut(hands.a["street"][0].astype(np.int64), acts), cut(seat, acts), cut(hands.a["isfold"][0], acts), 400)
-    flat = lambda lists: np.fromiter((np.nan if v is None else v for v in chain.from_iterable(lists)), float)
-    before, after = (flat(chain.from_iterable(r[i] for r in rows)) for i in (0, 1))
-    strong = flat(r[2] for r in rows)
-    alone = np.stack([flat(r[3][t] if r[3][t] is not None else [None] * int(n * n) for r, n in zip(rows, hands.n)) for t in range(4)])
-    width = hands.n[hand]
-    start = np.cumsum(width) - width
-    at = lambda v, s: v[start[a] + hands.place[s]]
-    known = lambda v: (np.nan_to_num(v), ~np.isnan(v))
-    eqx, pre, post, he = at(before, x), np.nan_to_num(at(before, y)), np.nan_to_num(at(after, y)), alone[hands.a["street"][0][a], pair]
-    strength = np.full(170, np.nan)
-    for name, v in cards.against_random().items():
-        strength[class_number(name)] = v
+    e = Equities(hands, *_boards(batch), batch.column("hand_idx").to_numpy(), SIMULATIONS)
+    hand, street = hands.a["hand"][0], hands.a["street"][0].astype(np.int64)
     # Y calls or raises later in the street, before X raises again.
-    n, slot = len(hand) + 1, lambda s: s * 4 + hands.a["street"][0][a].astype(np.int64)
+    n, slot = len(hand) + 1, lambda s: s * 4 + street[a]
     aggr, calls, fold = (hands.a[c][0] for c in ("aggr", "calls", "isfold"))
-    own = np.where(hands.actor >= 0, (hands.actor * 4 + hands.a["street"][0]) * n + np.arange(n - 1), -1)
+    own = np.where(hands.actor >= 0, (hands.actor * 4 + street) * n + np.arange(n - 1), -1)
 
     def later(flag: np.ndarray, who: np.ndarray) -> np.ndarray:
         keys = np.append(np.sort(own[flag & (own >= 0)]), np.iinfo(np.int64).max)
@@ -124,9 +129,27 @@ def _open(hands: Hands, batch: pa.Table, steps: Frame, pair: np.ndarray, a: np.n
     answer = later(aggr | calls, y)
     answered = aggr[a] & (hands.fold[y] > a) & (answer < n) & (later(aggr, x) > answer)
     (amount, ka), (tc, kt), (pot, kp) = (hands.a[c] for c in ("amount", "to_call", "pot_before"))
+    facing = np.broadcast_to(steps.holds("l = y AND tc > 0"), a.shape)
+    # Shares before and after a step are asked for where they count: a check or an unheeded step moves nothing.
+    acting = hands.actor >= 0
+    gone = fold & acting & (hands.fold[np.maximum(hands.actor, 0)] == np.arange(len(hand))) if len(hands.fold) else np.zeros(len(hand), bool)
+    left = hands.n[hand] - _before(gone, hand)
+    ask = np.stack([gone | ((fold | calls) & (tc > 0)), gone | (amount != 0)]) & acting
+    here = hand * 4 + street
+    lone = np.flatnonzero((facing & (fold | calls)[a] & (street[a] > 0)) | answered)
+    begin, share, alone = e.shares(np.concatenate([here[ask[0]], here[ask[1]]]), np.concatenate([left[ask[0]], (left - gone)[ask[1]]]), here[a[lone]], x[lone], y[lone])
+    start = np.full((2, len(hand)), len(share) - 1)
+    start[0, ask[0]], start[1, ask[1]] = np.split(begin, [np.count_nonzero(ask[0])])
+    at = lambda i, s: share[np.minimum(start[i][a] + hands.place[s], len(share) - 1)]
+    eqx, pre, post, he = at(0, x), np.nan_to_num(at(0, y)), np.nan_to_num(at(1, y)), np.full(len(a), np.nan)
+    he[lone] = alone
+    pre = np.where(gone[a], pre, post)
+    tested = np.flatnonzero(acting & (street > 0) & (fold | calls | (hands.a["action"][0] == 1)))
+    strong = np.full(len(hand), np.nan)
+    strong[tested] = e.strengths(here[tested], hands.actor[tested])
+    known = lambda v: (np.nan_to_num(v), ~np.isnan(v))
     sure = lambda k: np.broadcast_to(np.asarray(k), hand.shape)[a]
     amount, tc, pot, ka, kt, kp, bb = amount.astype(float)[a], tc.astype(float)[a], pot.astype(float)[a], sure(ka), sure(kt), sure(kp), steps.columns["bb"][0]
-    facing = np.broadcast_to(steps.holds("l = y AND tc > 0"), a.shape)
     zero = np.nan_to_num(eqx)
     folded, called = facing & fold[a], facing & calls[a]
     given = np.where(folded, np.where(kp & kt, zero * (pot + tc) - tc, 0), np.where(called, np.where(kp & ka, amount - zero * (pot + amount), 0), np.where(answered & ka, amount * np.nan_to_num(1 - 2 * he), 0)))
@@ -176,8 +199,16 @@ def _taken(expression: str, steps: Frame, pair: np.ndarray, size: int) -> tuple[
     return (np.where(there, out, 0.0 if none is None else none), there if none is None else True)
 
 
-def features(batch: pa.Table, rates_: np.ndarray) -> pa.Table:
-    """One row per pair x < y: RAW and TAKEN columns of both directions."""
+def strengths() -> np.ndarray:
+    """cards.against_random() by class_number(), nan in the last place for none."""
+    out = np.full(170, np.nan)
+    for name, v in cards.against_random().items():
+        out[class_number(name)] = v
+    return out
+
+
+def features(batch: pa.Table, rates_: np.ndarray, strength: np.ndarray) -> Frame:
+    """One row per pair a < b: the columns of pairhand.pairs()."""
     h = Hands(batch)
     whole = h.whole()
     steps, pair = h.steps()
@@ -186,7 +217,7 @@ def features(batch: pa.Table, rates_: np.ndarray) -> pa.Table:
     x, y = h.pair_x[pair], h.pair_y[pair]
     cell, good = _cells(h, a, x)
     steps.columns |= {c: (np.nan_to_num(r[cell]), good) for c, r in zip(("pa", "pf", "pc"), rates_)}
-    _open(h, batch, steps, pair, a, x, y)
+    _open(h, batch, steps, pair, a, x, y, strength)
     hand, px, py = h.pair_hand, h.pair_x, h.pair_y
     number = lambda at: (np.append(h.a["action_no"][0], np.int16(0))[at], at < h.none)
     step = lambda c, at: np.append(h.a[c][0], h.a[c][0].dtype.type(0))[at]
@@ -200,25 +231,83 @@ def features(batch: pa.Table, rates_: np.ndarray) -> pa.Table:
     }
     up = np.flatnonzero(h.place[px] < h.place[py])
     down = h.pair_off[hand[up]] + h.place[py[up]] * h.n[hand[up]] + h.place[px[up]]
-    player = h.s["player_idx"][0]
-    out = {"hand_idx": pa.array(batch.column("hand_idx").to_numpy()[hand[up]]), "a": pa.array(player[px[up]]), "b": pa.array(player[py[up]])}
-    kinds = {"boolean": pa.bool_(), "int": pa.int32(), "tinyint": pa.int8(), "smallint": pa.int16(), "double": pa.float64()}
-    values = {c: (whole.columns[c], t) for c, t in RAW.items()} | {c: (_taken(EVERY[c], steps, pair, whole.size), t) for c, t in TAKEN.items()}
-    for side, at in (("x", up), ("y", down)):
-        for c, ((v, filled), t) in values.items():
-            v = v[at] if t in ("boolean", "double") else v[at].astype(kinds[t].to_pandas_dtype())
-            out[f"{side}__{c}"] = pa.array(v, kinds[t], mask=None if filled is True else ~filled[at])
-    return pa.table(out)
-
-
-def pairs(hands: DataFrame, rates_: np.ndarray) -> DataFrame:
-    """pairhand.pairs() with equities of gathered() hands."""
-    columns = RAW | TAKEN
-    schema = "hand_idx int, a int, b int, " + ", ".join(f"{side}__{c} {t}" for side in "xy" for c, t in columns.items())
-    rows = hands.mapInArrow(_slices(lambda batch: features(batch, rates_)), schema)
+    player, sides = h.s["player_idx"][0], {}
+    for f, e in EVERY.items():
+        v, filled = whole.value(m[1]) if (m := _WHOLE.match(e)) else _taken(e, steps, pair, whole.size)
+        for side, at in (("x", up), ("y", down)):
+            sides[f"{side}_{f}"] = v[at], filled if isinstance(filled, bool) else filled[at]
+    both = Frame(sides, len(up))
+    out = {"hand_idx": (batch.column("hand_idx").to_numpy()[hand[up]], True), "a": (player[px[up]], True), "b": (player[py[up]], True)}
+    return Frame(out | {c: both.value(re.sub(r"\b([xy])\.(\w+)", r"\1_\2", e)) for c, e in pairhand.paired_columns(True).items()}, len(up))
+
+
+def typed(rows: Frame, schema: pa.Schema) -> pa.Table:
+    """The columns of a schema as a table."""
+    column = lambda v, filled, t: pa.array(v if pa.types.is_string(t) else v.astype(t.to_pandas_dtype(), copy=False), t, mask=None if filled is True else np.broadcast_to(~np.asarray(filled), v.shape))
+    return pa.table({f.name: column(*rows.columns[f.name], f.type) for f in schema}, schema)
+
+
+def kinds(spark: SparkSession) -> StructType:
+    """The columns of pairhand.pairs() with equities, as Spark types their expressions."""
+    taken = [f"x__{c} {t}, y__{c} {t}" for c, t in (RAW | TAKEN).items()]
     inside = re.compile(rf"\b({'|'.join(RAW)})\b")
     whole = {f: m[1] for f, e in EVERY.items() if (m := _WHOLE.match(e))}
-    sides = [F.expr(inside.sub(rf"{side}__\1", e)).alias(f"{side}_{f}") for side in "xy" for f, e in whole.items()]
-    taken = [F.col(f"{side}__{f}").alias(f"{side}_{f}") for side in "xy" for f in TAKEN]
-    both = rows.select("hand_idx", "a", "b", *sides, *taken)
-    return both.select("hand_idx", "a", "b", *(F.expr(re.sub(r"\b([xy])\.(\w+)", r"\1_\2", e)).alias(c) for c, e in pairhand.paired_columns(True).items()))
+    sides = [F.expr(inside.sub(rf"{side}__\1", whole[f]) if f in whole else f"{side}__{f}").alias(f"{side}_{f}") for side in "xy" for f in EVERY]
+    both = spark.createDataFrame([], "hand_idx int, a int, b int, " + ", ".join(taken)).select("hand_idx", "a", "b", *sides)
+    return both.select("hand_idx", "a", "b", *(F.expr(re.sub(r"\b([xy])\.(\w+)", r"\1_\2", e)).alias(c) for c, e in pairhand.paired_columns(True).items())).schema
+
+
+def pairs(hands: DataFrame, rates_: np.ndarray, then: Callable[[Frame], Frame] | None = None, schema: StructType | None = None) -> DataFrame:
+    """pairhand.pairs() with equities of gathered() hands; or columns of the schema that `then` makes of its rows a batch at a time."""
+    strength, schema = strengths(), schema or kinds(hands.sparkSession)
+    arrow = to_arrow_schema(schema)
+
+    def rows(batch: pa.Table) -> pa.Table:
+        out = features(batch, rates_, strength)
+        return typed(then(out) if then else out, arrow)
+
+    return hands.mapInArrow(_slices(rows), schema)
+
+
+# Signature flags of a row as bits of one number, and their counts by pair.
+
+_FLAGS, _SUMS = pairhand.flags(True), pairhand.sums(True)
+MARKS = StructType([StructField("a", IntegerType()), StructField("b", IntegerType()), StructField("flags", LongType()), *(StructField(f"s_{k}", DoubleType()) for k in _SUMS)])
+
+
+def marks(rows: Frame) -> Frame:
+    """Pairs with their flags and sums."""
+    bits = np.zeros(rows.size, np.int64)
+    for i, e in enumerate(_FLAGS.values()):
+        bits |= np.broadcast_to(np.asarray(rows.holds(e)), rows.size).astype(np.int64) << i
+    return Frame({c: rows.columns[c] for c in "ab"} | {"flags": (bits, True)} | {f"s_{k}": rows.value(e) for k, e in _SUMS.items()}, rows.size)
+
+
+def counted(marked: DataFrame) -> DataFrame:
+    """(a, b, n, c_ of flags, s_ of sums): marks() summed by pair, whose rows come to one task."""
+    kept, counts = [f"s_{k}" for k in _SUMS], ["n", *(f"c_{k}" for k in _FLAGS)]
+    schema = StructType([*MARKS.fields[:2], *(StructField(c, LongType()) for c in counts), *(StructField(c, DoubleType()) for c in kept)])
+    arrow = to_arrow_schema(schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            a, b, bits = (batch.column(i).to_numpy() for i in range(3))
+            sums = np.stack([np.where(f, v, 0) for v, f in map(plain, batch.columns[3:])])
+            there = np.stack([np.broadcast_to(f, len(a)) for _, f in map(plain, batch.columns[3:])]).astype(np.int64)
+            code = (a.astype(np.int64) << 32) + b + (1 << 31)
+            part = _summed(code, np.concatenate([np.ones((1, len(a)), np.int64), bits >> np.arange(len(_FLAGS))[:, None] & 1, there]), sums)
+            total = part if total is None else _summed(*(np.concatenate(x, -1) for x in zip(total, part)))
+        if total is not None:
+            code, whole, sums = total
+            pair = {"a": (code >> 32, True), "b": ((code & 0xFFFFFFFF) - (1 << 31), True)}
+            yield from typed(Frame(pair | {c: (v, True) for c, v in zip(counts, whole)} | {c: (v, n > 0) for c, v, n in zip(kept, sums, whole[len(counts) :])}, len(code)), arrow).to_batches(10_000)
+
+    return marked.repartition("a", "b").mapInArrow(count, schema)
+
+
+def _summed(code: np.ndarray, whole: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of columns over rows with the same code."""
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.diff(code[order], prepend=code[order[:1]] - 1))
+    return code[order][first], np.add.reduceat(whole[:, order], first, axis=1), np.add.reduceat(sums[:, order], first, axis=1)

@@ -25,14 +25,6 @@ def _sums(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(table[of].sum(-1, dtype=table.dtype) for table in (cards.FACE_SUM, cards.SHORT_SUITS, cards.BIT_SUM))
 
 
-def _drawn(deck: np.ndarray, simulations: int, seed: int) -> np.ndarray:
-    """Seeded boards: the first five cards of so many shuffles, in no order."""
-    u = np.random.default_rng(seed).random((simulations, len(deck)))
-    at = np.flatnonzero(u <= np.partition(u, 4, axis=1)[:, 4:5]) % len(deck)
-    at = at if len(at) == 5 * simulations else np.argsort(u, axis=1)[:, :5]  # equal draws
-    return deck[at.reshape(simulations, 5)]
-
-
 class _Street:
     """What the hands of a batch ask of one street: shares of the pot by who is in, and shares against each other alone."""
 
@@ -66,7 +58,7 @@ class _Street:
             come = [sum(table[deck][:, every[:, c]] for c in range(every.shape[1])) if every.shape[1] else table.dtype.type(0) for table in (cards.FACE_SUM, cards.SHORT_SUITS, cards.BIT_SUM)]
             board = tuple(t[:, None] + c for t, c in zip(there, come))
         else:
-            board = _sums(np.stack([_drawn(d, simulations, int(ids[i])) for d, i in zip(deck, members)]))
+            board = _sums(deck[np.arange(len(members))[:, None, None], cards.places(cards.drawn(deck.shape[1], simulations, [int(ids[i]) for i in members]), 5)])
         # One row for each seat that is in at the street's first step.
         rows, seats = [], []
         begin = {}
@@ -102,10 +94,7 @@ class _Street:
                 own = value[np.array([a[3] for a in some])]  # hands, seats, runs
                 best = own == own.max(1, keepdims=True)
                 many = best.sum(1, dtype=np.int8)
-                if (many > 1).any():
-                    share = np.einsum("hkr,hr->hk", best.astype(np.float64), 1.0 / many) / runs
-                else:
-                    share = np.count_nonzero(best, axis=2) / runs
+                share = sum(np.count_nonzero(best & (many == j)[:, None], axis=2) / j for j in np.unique(many).tolist()) / runs
                 for (i, live, in_, _), v in zip(some, share.tolist()):
                     full = [None] * len(holes[i])
                     for s, e in zip(in_, v):

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from tarn.operators import baseline as B
-from tarn.operators import cards, models, ranking
+from tarn.operators import cards, models, pairarrays, ranking
 from tarn.operators import pairhand as P
+from tarn.operators.handarrays import Frame
 from tarn.plans.lineage import cut
 from tarn.queries import domain as D
 from tarn.queries import evidence as V
@@ -407,12 +411,20 @@ WHEN net_bb_ab < net_bb_ba THEN 'a' WHEN net_bb_ab > net_bb_ba THEN 'b' WHEN imp
 def oriented_features(spark: SparkSession, d: str) -> DataFrame:
     """Who gives to whom in a pair-hand, by the flow of money, else by gifts, the result and the impact; and every directional
     feature as the greater and lesser of both and as the giver's and the taker's."""
-    rows = Q.pair_hand_engine(spark, d).withColumn("donor", F.expr(_DONOR))
-    names = [c[:-3] for c in rows.columns if c.endswith("_ab")]
-    from_a = F.col("donor") == "a"
-    ab, ba = (lambda c: F.col(f"{c}_ab")), (lambda c: F.col(f"{c}_ba"))
-    sides = {"max": lambda c: F.greatest(ab(c), ba(c)), "min": lambda c: F.least(ab(c), ba(c)), "donor": lambda c: F.when(from_a, ab(c)).otherwise(ba(c)), "receiver": lambda c: F.when(from_a, ba(c)).otherwise(ab(c))}
-    return rows.select("hand_idx", "a", "b", "donor", *(f(c).alias(f"{c}_{n}") for c in names for n, f in sides.items()))
+    fields = {f.name: f for f in pairarrays.kinds(spark)}
+    names = [c[:-3] for c in fields if c.endswith("_ab")]
+    schema = StructType([*(fields[c] for c in ("hand_idx", "a", "b")), StructField("donor", StringType()), *(StructField(f"{c}_{n}", fields[f"{c}_ab"].dataType) for c in names for n in _SIDES)])
+    return Q.engine(spark, d, functools.partial(_oriented, names), schema)
+
+
+_SIDES = {"max": "greatest({c}_ab, {c}_ba)", "min": "least({c}_ab, {c}_ba)", "donor": "CASE WHEN from_a THEN {c}_ab ELSE {c}_ba END", "receiver": "CASE WHEN from_a THEN {c}_ba ELSE {c}_ab END"}
+
+
+def _oriented(names: list[str], rows: Frame) -> Frame:
+    donor = rows.value(_DONOR.replace("'a'", "1").replace("'b'", "0"))[0] == 1
+    rows.columns["from_a"] = donor, True
+    keys = {c: rows.columns[c] for c in ("hand_idx", "a", "b")}
+    return Frame(keys | {"donor": (np.where(donor, "a", "b"), True)} | {f"{c}_{n}": rows.value(e.format(c=c)) for c in names for n, e in _SIDES.items()}, rows.size)
 
 
 METRICS = [
