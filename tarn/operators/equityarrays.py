@@ -16,8 +16,8 @@ from tarn.operators.handarrays import Hands, spread
 
 #: Cards of the board by street.
 KNOWN = (0, 3, 4, 5)
-#: Values that are worked out together; they should stay in a processor's cache.
-TOGETHER = 200_000
+#: Values that are worked out together.
+TOGETHER = 800_000
 _PAIRS = cards._two_cards()
 #: Sums of FACE_SUM and SHORT_SUITS in one number, for one card: 16 bits hold the suits.
 _BOTH = (cards.FACE_SUM.astype(np.int64) << 16) + cards.SHORT_SUITS
@@ -139,9 +139,9 @@ class Equities:
         own = self.sums[who]
         value = plain[face[:, None, :] + (own >> 16).astype(np.int32)[:, :, None]]
         suited = (suits[:, None, :] + (own & 0xFFFF).astype(np.uint16)[:, :, None]) & np.uint16(0x8888)
-        at = np.flatnonzero(suited)
+        at = np.flatnonzero(suited != 0)
         if len(at):
-            i, s, r = np.unravel_index(at, suited.shape)
+            i, s, r = (at // (suited.shape[1] * runs), at // runs % suited.shape[1], at % runs)
             come = cards.places(every[r] if known else every[i, r], need)
             bits = cards.BIT_SUM[deck[i[:, None], come]].sum(1) + cards.BIT_SUM[self.board[hand[i], :known]].sum(1) + self.bits[who[i, s]]
             mark = suited.ravel()[at]
@@ -221,7 +221,7 @@ def _split(value: np.ndarray, row: np.ndarray, n: int, runs: int) -> np.ndarray:
     np.equal(own, own.max(1, keepdims=True), out=best[:, :, :runs])
     won = _counts(best)
     many = best.view(np.uint64).sum(1, dtype=np.uint64).view(np.uint8)  # a byte a run
-    i, r = np.nonzero(many > 1)
+    i, r = np.divmod(np.flatnonzero(many > 1), many.shape[1])
     tied, split = best[i, :, r], many[i, r]
     sums = {j: np.stack([np.bincount(i[split == j], tied[split == j, s], len(row)) for s in range(n)], 1) for j in np.unique(split).tolist()}
     won = sum((v / j for j, v in sums.items()), won - sum(sums.values()))

@@ -21,7 +21,7 @@ from tarn.operators.equityarrays import Equities
 from tarn.operators.handarrays import Frame, Hands, _before, plain, spread
 
 #: Hands replayed together.
-TOGETHER = 1_000
+TOGETHER = 2_000
 #: Boards before the flop.
 SIMULATIONS = 400
 #: Cells of population rates: class, raises, place, callers.
@@ -242,9 +242,15 @@ def features(batch: pa.Table, rates_: np.ndarray, strength: np.ndarray) -> Frame
 
 
 def typed(rows: Frame, schema: pa.Schema) -> pa.Table:
-    """The columns of a schema as a table."""
-    column = lambda v, filled, t: pa.array(v if pa.types.is_string(t) else v.astype(t.to_pandas_dtype(), copy=False), t, mask=None if filled is True else np.broadcast_to(~np.asarray(filled), v.shape))
-    return pa.table({f.name: column(*rows.columns[f.name], f.type) for f in schema}, schema)
+    """The columns of a schema as a table; one that may not be null is checked."""
+
+    def column(v: np.ndarray, filled: np.ndarray | bool, f: pa.Field) -> pa.Array:
+        if not f.nullable and not np.all(filled):
+            raise ValueError(f"{f.name} has nulls")
+        mask = None if filled is True or not f.nullable else np.broadcast_to(~np.asarray(filled), v.shape)
+        return pa.array(v if pa.types.is_string(f.type) else v.astype(f.type.to_pandas_dtype(), copy=False), f.type, mask=mask)
+
+    return pa.table({f.name: column(*rows.columns[f.name], f) for f in schema}, schema)
 
 
 def kinds(spark: SparkSession) -> StructType:

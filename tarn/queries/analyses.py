@@ -413,7 +413,9 @@ def oriented_features(spark: SparkSession, d: str) -> DataFrame:
     feature as the greater and lesser of both and as the giver's and the taker's."""
     fields = {f.name: f for f in pairarrays.kinds(spark)}
     names = [c[:-3] for c in fields if c.endswith("_ab")]
-    schema = StructType([*(fields[c] for c in ("hand_idx", "a", "b")), StructField("donor", StringType()), *(StructField(f"{c}_{n}", fields[f"{c}_ab"].dataType) for c in names for n in _SIDES)])
+    # Keys and directional features have no nulls; said so, they are written without levels.
+    kinds = {c: fields[c].dataType for c in ("hand_idx", "a", "b")} | {"donor": StringType()} | {f"{c}_{n}": fields[f"{c}_ab"].dataType for c in names for n in _SIDES}
+    schema = StructType([StructField(c, t, False) for c, t in kinds.items()])
     return Q.engine(spark, d, functools.partial(_oriented, names), schema)
 
 

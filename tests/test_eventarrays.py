@@ -76,3 +76,13 @@ def test_orientation_is_that_of_the_engines_rows(spark, data):
     plain = engine.select("hand_idx", "a", "b", "donor", *(f(F.col(f"{c}_ab"), F.col(f"{c}_ba")).alias(f"{c}_{n}") for c in names for n, f in sides.items()))
     assert oriented.schema.simpleString() == plain.schema.simpleString()
     assert rows(oriented) == rows(plain)
+
+
+def test_signatures_are_those_of_the_engines_rows(spark, data):
+    fast, plain = Q.pair_signatures_open(spark, data), pairhand.pair_signatures(Q.pair_hand_engine(spark, data), ["a", "b"], True)
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    # A row goes to its pair as one number of flags and six sums, not as 56 counts.
+    assert "flags" in plan and "partial_sum(CASE" not in plan and "HashAggregate(keys=[a" not in plan
+    assert fast.schema.simpleString() == plain.schema.simpleString()
+    got, wanted = (sorted(map(tuple, x.collect())) for x in (fast, plain))
+    assert len(got) == len(wanted) > 100 and all(x[:3] == y[:3] and np.allclose(np.array(x[3:], float), np.array(y[3:], float), 1e-9, 1e-9, equal_nan=True) for x, y in zip(got, wanted))
