@@ -24,6 +24,8 @@ from tarn.operators.handarrays import Frame, Hands, _before, plain, spread
 TOGETHER = 2_000
 #: Boards before the flop.
 SIMULATIONS = 400
+#: Rows that wait to be summed by pair.
+WAITING = 200_000
 #: Cells of population rates: class, raises, place, callers.
 CELLS = (169, 4, 6, 3)
 _STEP = re.compile(r"(?:coalesce\()?(min|max)\(CASE WHEN (?!s THEN)(.*) THEN (?:coalesce\((\w+), ([\d.]+)\)|(\w+)) END\)(?:, (-?[\d.]+)\))?$")
@@ -289,27 +291,52 @@ def marks(rows: Frame) -> Frame:
     return Frame({c: rows.columns[c] for c in "ab"} | {"flags": (bits, True)} | {f"s_{k}": rows.value(e) for k, e in _SUMS.items()}, rows.size)
 
 
-def counted(marked: DataFrame) -> DataFrame:
-    """(a, b, n, c_ of flags, s_ of sums): marks() summed by pair, whose rows come to one task."""
+def counted(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """marks() summed by pair, whose rows come to one task: (a, b, n, c_ of flags, s_ of sums); and n and c_ of all rows, in parts."""
     kept, counts = [f"s_{k}" for k in _SUMS], ["n", *(f"c_{k}" for k in _FLAGS)]
-    schema = StructType([*MARKS.fields[:2], *(StructField(c, LongType()) for c in counts), *(StructField(c, DoubleType()) for c in kept)])
-    arrow = to_arrow_schema(schema)
+    of_all = StructType([StructField(c, LongType()) for c in counts])
+    schema = StructType([*MARKS.fields[:2], *of_all.fields, *(StructField(c, DoubleType()) for c in kept)])
+    arrow, arrow_all = to_arrow_schema(schema), to_arrow_schema(of_all)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, waiting, rows = None, [], 0
+
+        def merged() -> tuple | None:
+            parts = [_by_pair(pa.Table.from_batches(waiting).combine_chunks())] if waiting else []
+            parts += [] if total is None else [total]
+            return _summed(*(np.concatenate(x, -1) for x in zip(*parts))) if len(parts) > 1 else parts[0] if parts else None
+
         for batch in batches:
-            a, b, bits = (batch.column(i).to_numpy() for i in range(3))
-            sums = np.stack([np.where(f, v, 0) for v, f in map(plain, batch.columns[3:])])
-            there = np.stack([np.broadcast_to(f, len(a)) for _, f in map(plain, batch.columns[3:])]).astype(np.int64)
-            code = (a.astype(np.int64) << 32) + b + (1 << 31)
-            part = _summed(code, np.concatenate([np.ones((1, len(a)), np.int64), bits >> np.arange(len(_FLAGS))[:, None] & 1, there]), sums)
-            total = part if total is None else _summed(*(np.concatenate(x, -1) for x in zip(total, part)))
+            waiting.append(batch)
+            rows += batch.num_rows
+            if rows >= max(WAITING, 0 if total is None else len(total[0])):  # so that sums are merged a few times only
+                total, waiting, rows = merged(), [], 0
+        total = merged()
         if total is not None:
             code, whole, sums = total
             pair = {"a": (code >> 32, True), "b": ((code & 0xFFFFFFFF) - (1 << 31), True)}
             yield from typed(Frame(pair | {c: (v, True) for c, v in zip(counts, whole)} | {c: (v, n > 0) for c, v, n in zip(kept, sums, whole[len(counts) :])}, len(code)), arrow).to_batches(10_000)
 
-    return marked.repartition("a", "b").mapInArrow(count, schema)
+    def count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(counts), np.int64)
+        for batch in batches:
+            bits = batch.column(2).to_numpy()
+            total += [len(bits), *(np.count_nonzero(bits & (1 << i)) for i in range(len(_FLAGS)))]
+        yield from typed(Frame({c: (np.array([v]), True) for c, v in zip(counts, total)}, 1), arrow_all).to_batches()
+
+    by_pair = marked.repartition("a", "b")
+    return by_pair.mapInArrow(count, schema), by_pair.mapInArrow(count_all, of_all)
+
+
+def _by_pair(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, counts, sums) of marks(): n, flags, and how many of each sum are there."""
+    (a, _), (b, _), (bits, _), *sums = map(plain, rows.columns)
+    code = (a.astype(np.int64) << 32) + b + (1 << 31)
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.diff(code[order], prepend=code[order[:1]] - 1))
+    bits, add = bits[order], lambda v: np.add.reduceat(v, first)
+    there = [add(np.broadcast_to(f, len(a)).astype(np.int64)[order]) for _, f in sums]
+    return code[order][first], np.stack([add(np.ones(len(a), np.int64)), *(add(bits >> i & 1) for i in range(len(_FLAGS))), *there]), np.stack([add(np.where(f, v, 0)[order]) for v, f in sums])
 
 
 def _summed(code: np.ndarray, whole: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
